@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, token_counts, token_store
+from . import ann, bpe, chat, decontamination, language_id, line_dedup, quality, simhash, token_counts, token_store
 from ._common import read_table, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,12 +19,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = language_id.fit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return language_id.identify(spark, pages, profiles).select("page_id", "lang", "confidence", "text_lang", "declared")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(spark, docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.overlaps(spark, docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(spark, vectors, F.col("vec_id") % 50 == 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
@@ -34,6 +56,11 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, tokenizer_path())
@@ -67,8 +94,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_ann": op4_ann,
+    "op5_quality": op5_quality,
     "op6_token_store": op6_token_store,
+    "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
