@@ -1,0 +1 @@
+"""Media-timeline analytics on Spark DataFrames."""
