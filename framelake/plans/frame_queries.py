@@ -9,15 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identifiers as B
-from ..operators import channels as C
-from ..operators import events as V
 from ..operators import index as X
-from ..operators import integrity as G
-from ..operators import labels as L
-from ..operators import packets as P
 from ..operators import timeline as S
-from ..operators import tracks as K
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
