@@ -94,8 +94,14 @@ def walk(left: np.ndarray, right: np.ndarray):
                 heapq.heappush(heap, (u[i2] + v[j2], i2, j2))
 
 
+def _moderate(x: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two each, which loses nothing, so that squares stay within doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosines of one vector with many, each summed in the same way whatever else is in the block."""
+    q, x = _moderate(q), _moderate(x)
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
