@@ -17,7 +17,7 @@ Number = Column | int
 
 
 def lit(x: Number) -> Column:
-    return x if isinstance(x, Column) else F.lit(x).cast("long")
+    return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
 def div(a: Number, b: Number) -> Column:
