@@ -10,6 +10,7 @@ from ..operators import events as V
 from ..operators import integrity as G
 from ..operators import labels as L
 from ..operators import packets as P
+from ..operators import reports as R
 from ..operators import tracks as K
 from .frame_queries import _FRAMES, frames, table
 
@@ -420,3 +421,29 @@ def b16_name_uuid(spark, sf_dir):
 def b17_strings(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", B.file_name(F.col("url")).alias("name"), F.array_join(B.split_text(F.col("url"), "/"), "|").alias("parts"))
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_LINES} SELECT event_id, CASE WHEN did = 67 AND sdid = 2 THEN 'subtitling distribution' WHEN did = 65 AND sdid = 1 THEN 'video payload identification' WHEN did = 65 AND sdid = 5 THEN 'AFD and bar data' WHEN did = 65 AND sdid = 6 THEN 'pan-scan' "
+       "WHEN did = 69 AND sdid = 1 THEN 'audio metadata' WHEN did = 96 AND sdid = 96 THEN 'timecode' WHEN did = 97 AND sdid = 1 THEN 'EIA-708 captions' WHEN did = 97 AND sdid = 2 THEN 'EIA-608 captions' WHEN did = 98 AND sdid = 2 THEN 'VBI data' END AS name FROM l")
+def b5_packet_names(spark, sf_dir):
+    return lines(spark, sf_dir).select("event_id", R.packet_name(F.col("did"), F.col("sdid")).alias("name"))
+
+
+@query("""SELECT conv_id, '<Manifest><FileList>' || string_agg('<File><Name>&lt;' || turn || '&gt;&amp;</Name><Size>' || octet_length(encode(text)) || '</Size><Checksum type="md5">' || md5(text) || '</Checksum></File>', '' ORDER BY turn) || '</FileList></Manifest>' AS manifest FROM conversations GROUP BY conv_id""")
+def k4_manifest(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), F.col("turn"), F.lit(">&")).alias("name"), F.octet_length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("md5"))
+    return R.manifest_xml(c, "conv_id", "turn")
+
+
+@query("""SELECT conv_id, '{"conv_id":' || conv_id || ',"turns":' || count(*) || ',"tracks":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']}' AS report FROM conversations GROUP BY conv_id""")
+def k8_clip_report(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return R.clip_report(c.groupBy("conv_id").agg(F.count("*").alias("turns")), c, "conv_id", ["turn"])
+
+
+@query("SELECT doc_id, 'lang   : ' || lang || chr(10) || 'source : ' || source AS report FROM documents")
+def k7_sections(spark, sf_dir):
+    return R.sections(table(spark, sf_dir, "documents"), ["doc_id"], ["lang", "source"])
