@@ -72,15 +72,13 @@ def _digest(data: bytes) -> bytes:
 
 
 def pack(ids: np.ndarray) -> tuple[int, bytes]:
-    """Low bytes of all ids, then the next ones, compressed; two bytes an id where they suffice, else four."""
+    """Ids of two bytes each where they suffice, else four, compressed."""
     width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
-    planes = np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
-    return width, zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return width, zstandard.ZstdCompressor(level=3).compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(width: int, data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("<u4")
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=f"<u{width}").astype("<u4")
 
 
 def _coded(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
