@@ -2,9 +2,9 @@
 
 A seed is a fixed mask over consecutive tokens that leaves some positions out, so two passages share its hash although
 tokens at these positions differ.  Hashes of the test items and of the training texts are joined; each hit says at which
-offset an item may lie in a text, and there tokens are compared one by one.  An overlap is the stretch in which equal
-tokens outweigh ``COST`` times the unequal ones by most; it is reported from ``MIN_MATCHED`` equal tokens (or all of a
-shorter item that a mask fits) and an equal share of ``MIN_SHARE`` on.
+offset an item may lie in a text, and there tokens are compared one by one.  An overlap is the stretch of most equal tokens among
+those in which they have a share of ``MIN_SHARE`` or more, without unequal ones at its ends; it is reported from ``MIN_MATCHED``
+equal tokens (or all of a shorter item that a mask fits) on.
 
 A Bloom filter over the hashes of the items, of bounded size, tells which hashes of a text are worth joining.  Where the
 items are few (a checked bound) each task joins and verifies against a broadcast copy, so nothing is shuffled and
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Fixed masks: 1 for a token that counts, 0 for one that may differ.
-MASKS = ("1110111", "11011011", "110101011", "1011001101")
-#: Equal tokens that an overlap needs, their share in it, and how many equal tokens an unequal one outweighs.
-MIN_MATCHED, MIN_SHARE, COST = 13, 0.8, 3
+#: Fixed masks: 1 for a token that counts, 0 for one that may differ.  One of them fits in every overlap that suffices, tried for all of 13 to 25 tokens.
+MASKS = ("1110111", "11011011", "110101011", "1110010011")
+#: Equal tokens that an overlap needs, and their share in it.
+MIN_MATCHED, MIN_SHARE = 13, 0.8
 #: Tokens of all items up to which they are broadcast, and the most bits of the filter.
 BROADCAST_TOKENS, FILTER_BITS = 2_000_000, 1 << 27
 
@@ -128,14 +128,20 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     if b <= a:
         return None
     same = item[a:b] == doc[a + shift : b + shift]
-    sums = np.concatenate(([0], np.cumsum(np.where(same, 1, -COST))))
-    lows = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - lows))
-    start = int(np.argmin(sums[: end + 1]))
-    n, matched = end - start, int(same[start:end].sum())
-    if matched < min(MIN_MATCHED, len(item)) or matched < MIN_SHARE * n:
+    at = np.flatnonzero(same)
+    if len(at) < min(MIN_MATCHED, len(item)):
         return None
-    return a + start + shift, a + start, n, matched
+    equal = np.concatenate(([0], np.cumsum(same)))
+    sums = equal * 100 - round(MIN_SHARE * 100) * np.arange(len(equal))  # not lower at a stretch's end than at its start if the share suffices
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums)  # the earliest start for each end
+    counts = equal - equal[first]
+    matched = int(counts.max())
+    if matched < min(MIN_MATCHED, len(item)):
+        return None
+    ends = equal[counts == matched]
+    starts, lengths = at[ends - matched], at[ends - 1] + 1 - at[ends - matched]
+    k = int(np.argmin(lengths))
+    return a + int(starts[k]) + shift, a + int(starts[k]), int(lengths[k]), matched
 
 
 def _best(found: dict, key, hit) -> None:
