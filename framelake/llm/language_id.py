@@ -37,7 +37,9 @@ TRAIN_ROWS, TEXT_WEIGHT, SMOOTH = 2000, 40, 8.0
 BITS, LANGUAGES = 15, 200
 
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
+#: A comment, a script or style with what is in it, or an <html> tag, whose attributes are the second group; none reads a part twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b([^>]*)", re.IGNORECASE | re.DOTALL)
+_DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -46,8 +48,11 @@ def visible_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str | None:
-    m = _DECLARED.search((page or "")[:4096])
-    return m[1].lower() if m else None
+    """That of the first <html> tag with one, wherever it stands outside comments, scripts and styles."""
+    for tag in _TAG.finditer(page or ""):
+        if tag[2] and (m := _DECLARED.search(tag[2])):
+            return m[1].lower()
+    return None
 
 
 def address(url: str | None) -> tuple[str, str, str]:
