@@ -37,17 +37,24 @@ _WORD = (1 << 64) - 1
 _TILE = 2_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of a text: each bit is set if it is in over half of the shingle hashes."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hash of each run of ``shingle`` words, as big-endian unsigned longs."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, dtype=">u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts, last, strict=True)], dtype=">u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, last, strict=True)], dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of a text: each bit is set if it is in over half of the shingle hashes."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
