@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,23 +41,35 @@ def ranked(tracks: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return tracks.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
-def resolve_chain(spark: SparkSession, clips: DataFrame, wanted: str, depth: int = 32) -> DataFrame:
+def resolve_chain(spark: SparkSession, clips: DataFrame, wanted: str) -> DataFrame:
     """Follow source clips (id, ref, kind, num, den, origin, offset) to a package of kind ``wanted``.
 
     Each hop takes the offset to the next one's rate and adds its origin; a clip that refers to itself ends its chain.
-    Hops are joins, so all chains advance together; ``depth`` guards against circles.
+    Hops are joins, so all chains advance together, until none is live; each is checkpointed, which cuts its lineage.
+    A circle comes back to each of its clips, which raises ValueError.
     """
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="framelake-"))
     nodes = clips.select(F.col("id").alias("_id"), F.col("ref").alias("_ref"), F.col("kind").alias("_kind"), F.col("num").alias("_num"), F.col("den").alias("_den"), F.col("origin").alias("_origin"), F.col("offset").alias("_step"))
     live = clips.select(F.col("id").alias("start"), "id", "ref", "num", "den", F.col("offset").cast("long").alias("offset"), F.lit(0).alias("hops"))
-    found = None
-    for hop in range(1, depth + 1):
+    found, hop = None, 0
+    while True:
+        hop += 1
         live = live.where("ref is not null and ref <> id").join(nodes, F.col("ref") == F.col("_id"))
         top, bottom = rate_factors(F.col("num"), F.col("den"), F.col("_num"), F.col("_den"))
         live = live.select("start", F.col("_id").alias("id"), F.col("_ref").alias("ref"), F.col("_kind").alias("kind"), F.col("_num").alias("num"), F.col("_den").alias("den"), (convert_position(F.col("offset"), top, bottom) + F.col("_origin")).alias("offset"), F.lit(hop).alias("hops"))
+        live = live.checkpoint()
         hit = live.where(F.col("kind") == wanted).select("start", F.col("id").alias("target"), "offset", "hops")
         found = hit if found is None else found.unionByName(hit)
         live = live.where(F.col("kind") != wanted).drop("kind")
-    return found
+        left, circle = live.agg(F.count("*"), F.min(F.when((F.col("id") == F.col("start")) & (F.col("ref") != F.col("id")), F.col("start")))).first()
+        if circle is not None:
+            raise ValueError(f"the chain of {circle} comes back to it")
+        if not left:
+            return found
 
 
 def source_packages(clips: DataFrame, packages: DataFrame, keys: Sequence[str]) -> DataFrame:

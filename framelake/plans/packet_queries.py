@@ -343,7 +343,7 @@ f AS (SELECT start, id, CASE WHEN start = id THEN off ELSE off END AS off, hops
 SELECT start, id AS target, hops FROM f""")
 def j2_chain(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey div 3").alias("ref"), F.when(F.col("o_orderkey") < 30, "tape").otherwise("file").alias("kind"), F.when(F.col("o_orderkey") % 2 == 0, 25).otherwise(50).cast("long").alias("num"), F.lit(1).cast("long").alias("den"), (F.col("o_orderkey") % 4).alias("origin"), (F.col("o_orderkey") % 10).alias("offset"))
-    return K.resolve_chain(spark, o, "tape", 12).select("start", "target", "hops")
+    return K.resolve_chain(spark, o, "tape").select("start", "target", "hops")
 
 
 @query("SELECT o_custkey AS uid, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
