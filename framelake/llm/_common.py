@@ -4,9 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text that an operator turns into Python or numpy objects at once; a longer text is taken alone.
+SLICE = 8_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int | str, limit: int = SLICE) -> Iterable[pa.RecordBatch]:
+    """``batch`` in runs of rows whose ``column`` (strings or bytes) holds ``limit`` bytes at most, or of one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def texts_of(column: pa.Array) -> pa.Array:
+    """Strings without nulls: a null is an empty text."""
+    return pc.fill_null(column, "") if column.null_count else column
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``, read by Spark so that any file system it knows will do."""
@@ -31,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which Hadoop removes when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
 
@@ -38,7 +68,4 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(removed_at_exit(spark, path))

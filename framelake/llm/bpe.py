@@ -6,8 +6,9 @@ order from a heap; a merge changes at most two neighbouring pairs, whose new occ
 A rank that a merge brings to life below the current one is applied next, so each piece sees its own lowest rank first
 and, of equal ones, the leftmost: the order that defines BPE.
 
-Nulls and empty texts give no ids and decode to the empty text; repeated rows and ties are independent rows; columns
-of other names pass through untouched; an empty table gives an empty table.
+Nulls and empty texts give no ids and decode to the empty text; repeated rows and ties are independent rows; columns of other
+names pass through untouched, while columns ``ids`` and ``decoded`` give way to the results; a text of any length is encoded
+whole (its ids have to fit into a row); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import slices, texts_of
 from .tokenization import TextEncoder, WordTokenizer, _cut, word_tokenizer
 
 #: Symbols in one index; bounds a worker's memory, changes no result.
@@ -152,10 +154,6 @@ def _encoder(path: str) -> tuple[WordTokenizer, TextEncoder]:
     return t, TextEncoder(t, PairIndex(t.model).encode)
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def _append(df: DataFrame, add: dict[str, T.DataType], make) -> DataFrame:
     """``df`` with columns that ``make`` derives from each record batch; columns of these names are replaced."""
     kept = [f for f in df.schema.fields if f.name not in add]
@@ -168,37 +166,22 @@ def _append(df: DataFrame, add: dict[str, T.DataType], make) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, v) for k, v in add.items())]))
 
 
-#: Ids per record batch that goes back to the JVM.
-_OUT_IDS = 2_000_000
-
-
-def _emit(batch: pa.RecordBatch, names: list[str], coded: list[bytes], path: str, decoded: bool):
-    t = word_tokenizer(path)
-    ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in coded]
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    at = 0
-    while at < len(ids):
-        end, held = at, 0
-        while end < len(ids) and (end == at or held + sizes[end] <= _OUT_IDS):
-            held += sizes[end]
-            end += 1
-        part = batch.slice(at, end - at)
-        offsets = np.concatenate(([0], np.cumsum(sizes[at:end]))).astype(np.int32)
-        flat = np.concatenate(ids[at:end]) if end > at else np.empty(0, np.int32)
-        columns = [part.column(n) for n in names]
-        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+def _emit(batch: pa.RecordBatch, names: list[str], path: str, text_col: str, decoded: bool):
+    t, encoder = _encoder(path)
+    for part in slices(batch, text_col):
+        ids, ends = encoder.coded(texts_of(part.column(text_col)))
+        offsets = np.concatenate(([0], ends))
+        columns = [*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))]
         if decoded:
-            columns.append(pa.array([t.decode(x.tolist()) for x in ids[at:end]], pa.string()))
+            columns.append(pa.array([t.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1].tolist(), ends.tolist(), strict=True)], pa.string()))
         yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", *["decoded"] * decoded])
-        at = end
 
 
 def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with ``ids array<int>``, the token ids of ``text_col`` without any added special tokens."""
 
     def make(batch, names):
-        coded = list(_encoder(tokenizer_path)[1].ids(_texts(batch.column(text_col))))
-        yield from _emit(batch, names, coded, tokenizer_path, False)
+        yield from _emit(batch, names, tokenizer_path, text_col, False)
 
     return _append(df, {"ids": T.ArrayType(T.IntegerType())}, make)
 
@@ -218,7 +201,6 @@ def encode_decode(df: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     """Both at once, in one pass through Python: ``ids`` and the text ``decoded`` from them."""
 
     def make(batch, names):
-        coded = list(_encoder(tokenizer_path)[1].ids(_texts(batch.column(text_col))))
-        yield from _emit(batch, names, coded, tokenizer_path, True)
+        yield from _emit(batch, names, tokenizer_path, text_col, True)
 
     return _append(df, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, make)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontamination, language_id, line_dedup, quality, simhash, token_counts, token_store
-from ._common import read_table, shared_dir
+from ._common import read_table, removed_at_exit, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -49,7 +49,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}")
     token_store.write(spark, docs, path, tokenizer_path())
     if not token_store.verify(spark, path):
         raise ValueError("the manifest of the store doesn't follow from its recipes")

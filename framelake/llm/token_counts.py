@@ -4,45 +4,70 @@ Within each partition the pre-tokens of a document become frequencies, every dis
 the two are joined and summed.  Nothing is shuffled and no id list is built, so cost follows the distinct words and a
 word that a third of the corpus holds is no hot key.
 
-Null and empty texts count zero tokens and zero bytes; repeated rows are counted row by row; further columns pass through.
+Null and empty texts count zero tokens and zero bytes; texts of any length are counted whole; repeated rows are counted row by
+row; further columns pass through, but for those named like the results, which give way; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
-from operator import mul
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokenization import CACHE_ENTRIES, word_tokenizer
+from ._common import slices, texts_of
+from .tokenization import CACHE_ENTRIES, numbered_units, word_tokenizer
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 2048
 
 
+class _Numbers(dict):
+    """Numbers units in the order in which they are first asked for."""
+
+    def __missing__(self, unit):
+        n = self[unit] = len(self)
+        return n
+
+
 class PieceCounts:
     """The number of tokens of each distinct unit of text met so far by this worker."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer, self._entries = word_tokenizer(path), entries
         self._model = self.tokenizer.library.model
-        self._units: dict[str | int, int] = {}
-
-    def totals(self, texts: list[str]) -> list[int]:
-        if len(self._units) > self._entries:
-            self._units.clear()
-        known, tokenize = self._units, self._model.tokenize
-        out = []
-        for text in texts:
-            frequencies = Counter(self.tokenizer.units(text))
-            for u in [u for u in frequencies if u not in known]:
-                known[u] = 1 if isinstance(u, int) else sum(len(tokenize(p)) for p in self.tokenizer.pieces(u))
-            out.append(sum(map(mul, frequencies.values(), map(known.__getitem__, frequencies))))
-        return out
+        self._clear()
+
+    def _clear(self) -> None:
+        self._numbers, self._counts = _Numbers(), np.empty(0, dtype=np.int64)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text: frequencies of its units times the count of each, summed."""
+        if len(self._numbers) > self._entries:
+            self._clear()
+        units, sizes = numbered_units(self.tokenizer, texts, self._numbers.__getitem__)
+        self._learn()
+        upto = np.concatenate(([0], np.cumsum(self._counts[units])))
+        ends = np.cumsum(sizes)
+        return upto[ends] - upto[ends - sizes]
+
+    def _learn(self) -> None:
+        """Count every distinct pre-token of the units that are new."""
+        new = list(itertools.islice(self._numbers, len(self._counts), None))
+        if not new:
+            return
+        is_word = np.fromiter((isinstance(u, str) and u[:1] not in ("", "\0") for u in new), dtype=bool, count=len(new))
+        rest = [u for u, word in zip(new, is_word.tolist(), strict=True) if not word]
+        pieces, at, of = self.tokenizer.pieces_of_words([u for u, word in zip(new, is_word.tolist(), strict=True) if word])
+        tokenize, counts = self._model.tokenize, np.zeros(len(new), dtype=np.int64)
+        tokens = np.fromiter((len(tokenize(p)) for p in pieces), dtype=np.int64, count=len(pieces))
+        counts[is_word] = np.bincount(of, tokens[at], minlength=int(is_word.sum())).astype(np.int64)
+        counts[~is_word] = [1 if isinstance(u, int) else len(tokenize(u[1:])) if u else 0 for u in rest]
+        self._counts = np.concatenate((self._counts, counts))
 
 
 class SentencePieceCounts:
@@ -53,10 +78,10 @@ class SentencePieceCounts:
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def totals(self, texts: list[str]) -> list[int]:
-        distinct = list(dict.fromkeys(texts))
-        counts = dict(zip(distinct, map(len, self._model.encode(distinct, num_threads=1)), strict=True)) if distinct else {}
-        return [counts[t] for t in texts]
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        found = texts.dictionary_encode()
+        counts = np.array(list(map(len, self._model.encode(found.dictionary.to_pylist(), num_threads=1))) if len(found) else [], dtype=np.int64)
+        return counts[found.indices.to_numpy()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -73,10 +98,11 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
     def run(batches):
         counts = _counts(tokenizer_path)
         for batch in batches:
-            texts = ["" if x is None else x for x in batch.column(text_col).to_pylist()]
-            n = np.array(counts.totals(texts), dtype=np.int64)
-            size = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(size), pa.array(n), pa.array(n > limit)], names=[*names, *new])
+            for part in slices(batch, text_col):
+                texts = texts_of(part.column(text_col))
+                n = counts.totals(texts)
+                size = pc.binary_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), size, pa.array(n), pa.array(n > limit)], names=[*names, *new])
 
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return df.mapInArrow(run, schema)

@@ -8,7 +8,8 @@ Layout under one folder, all Parquet, so that any file system of Spark's will do
 
 A rolling hash over the last ``WINDOW`` ids cuts a stream where its low bits are zero, so equal passages fall into equal
 chunks wherever they stand.  Rows are taken as documents one by one: a repeated row is a document of its own (equal
-doc_ids are ordered by root), a null text is empty, and a null doc_id sorts first.  Further columns are not stored.
+doc_ids are ordered by root), a null text is empty, and a null doc_id sorts first.  Further columns are not stored, whatever
+their names.  A long text is one row of many chunks; an empty table gives a store without recipes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize
+from ._common import materialize, slices, texts_of
 from .tokenization import library_text_encoder
 
 #: Ids that the rolling hash looks back, bits that must be zero at a cut, and the longest chunk.
@@ -37,27 +38,41 @@ _PART = "kind string, key binary, n_ids int, width int, data binary, doc_id long
 #: Digests that a task remembers so as not to send a chunk twice; more only means that some are sent again.
 _SEEN = 500_000
 
+
 def _mix(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of each id."""
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    """A 32-bit mix of each id."""
+    x = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
+
 
+def rolling(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the last ``WINDOW`` ids (a power of two) up to each id of streams that end at ``ends``, none looking into another.
 
-def cut_points(ids: np.ndarray, window: int = WINDOW, bits: int = CUT_BITS, longest: int = LONGEST) -> list[int]:
-    """Where chunks end: after ids whose rolling hash has ``bits`` low zero bits, and every ``longest`` ids in between."""
-    n = len(ids)
-    if not n:
+    Mixes are rotated by their age and joined by exclusive or, so a window of twice the length takes one more step.
+    """
+    sizes = np.diff(ends, prepend=0)
+    at = np.arange(len(ids)) + np.repeat(np.arange(len(ends)), sizes) * (WINDOW - 1)
+    h = np.zeros(len(ids) + len(ends) * (WINDOW - 1), dtype=np.uint32)  # blanks between streams
+    h[at] = _mix(ids)
+    width = 1
+    while width < WINDOW:
+        older = h[:-width]
+        turned = (older << np.uint32(width)) | (older >> np.uint32(32 - width))
+        h[width:] ^= turned
+        width *= 2
+    return h[at]
+
+
+def cut_points(ids: np.ndarray, ends: np.ndarray | None = None, bits: int = CUT_BITS, longest: int = LONGEST) -> list[int]:
+    """Where chunks end: after ids whose rolling hash has ``bits`` low zero bits, at the end of each stream, and every ``longest`` ids in between."""
+    if not len(ids):
         return []
-    mixed = _mix(ids)
-    h = mixed.copy()
-    for k in range(1, min(window, n)):
-        shifted = mixed[:-k]
-        h[k:] += (shifted << np.uint64(k)) | (shifted >> np.uint64(64 - k))
-    ends = (np.flatnonzero((h & np.uint64((1 << bits) - 1)) == 0) + 1).tolist()
+    ends = np.array([len(ids)]) if ends is None else ends
+    found = np.flatnonzero((rolling(ids, ends) & np.uint32((1 << bits) - 1)) == 0) + 1
     out, at = [], 0
-    for end in [*ends, n]:
+    for end in np.union1d(found, ends).tolist():
         while end - at > longest:
             at += longest
             out.append(at)
@@ -71,19 +86,18 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def pack(ids: np.ndarray) -> tuple[int, bytes]:
+def pack(ids: np.ndarray, compress=None) -> tuple[int, bytes]:
     """Ids of two bytes each where they suffice, else four, compressed."""
     width = 2 if int(ids.max(initial=0)) < 1 << 16 else 4
-    return width, zstandard.ZstdCompressor(level=3).compress(ids.astype(f"<u{width}").tobytes())
+    return width, (compress or zstandard.ZstdCompressor(level=3).compress)(ids.astype(f"<u{width}").tobytes())
 
 
-def unpack(width: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=f"<u{width}").astype("<u4")
+def unpack(width: int, data: bytes, decompress=None) -> np.ndarray:
+    return np.frombuffer((decompress or zstandard.ZstdDecompressor().decompress)(data), dtype=f"<u{width}").astype("<u4")
 
 
 def _coded(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
     """A row for each document and, at its first sight in the task, for each chunk."""
-    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
     kinds = [pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
     names = [x.split()[0] for x in _PART.split(", ")]
 
@@ -93,32 +107,33 @@ def _coded(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
 
     def run(batches):
         encoder, task = library_text_encoder(tokenizer_path), TaskContext.get().partitionId()
+        compress = zstandard.ZstdCompressor(level=3).compress
         seen: set[bytes] = set()
         ordinal = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            ids, ends = encoder.coded(texts_of(batch.column(1)))
+            if end_id is not None:
+                ids = np.insert(ids, ends, end_id).astype("<u4", copy=False)
+                ends = ends + np.arange(1, len(ends) + 1)
+            cuts = cut_points(ids, ends)
             rows: list[tuple] = []
-            held = 0
-            texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            for doc_id, stream in zip(batch.column(0).to_pylist(), encoder.ids(texts), strict=True):
-                ids = np.frombuffer(stream + tail, dtype="<u4")
-                chunks, at = [], 0
-                for end in cut_points(ids):
-                    part = ids[at:end]
+            at = k = 0
+            for doc_id, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                start, chunks = at, []
+                while at < end:
+                    part = ids[at : cuts[k]]
+                    at = cuts[k]
+                    k += 1
                     chunks.append(h := _digest(part.tobytes()))
-                    at = end
                     if h not in seen:
                         if len(seen) >= _SEEN:
                             seen.clear()
                         seen.add(h)
-                        width, data = pack(part)
+                        width, data = pack(part, compress)
                         rows.append(("chunk", h, len(part), width, data, None, None, None, None))
-                        held += len(data)
                 own = _digest(f"{task} {ordinal}".encode())
-                rows.append(("recipe", own, None, None, None, doc_id, len(ids), _digest(b"".join(chunks)), chunks))
+                rows.append(("recipe", own, None, None, None, doc_id, end - start, _digest(b"".join(chunks)), chunks))
                 ordinal += 1
-                if held > 4_000_000:
-                    yield batch_of(rows)
-                    rows, held = [], 0
             yield batch_of(rows)
 
     return df.mapInArrow(run, _PART)
@@ -139,25 +154,30 @@ def _parts(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(_PART).parquet(f"{path}/parts").where(F.col("kind") == kind)
 
 
+def _counted(batches):
+    """Rows of one range in order, with the documents and ids of the range before each."""
+    part, docs, ids = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy()
+        upto = ids + np.cumsum(n)
+        before = [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(docs + np.arange(len(n))), pa.array(upto - n)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *before], names=[*batch.schema.names, "part", "docs_before", "ids_before"])
+        if len(n):
+            docs, ids = docs + len(n), int(upto[-1])
+
+
 def _order(spark: SparkSession, path: str) -> None:
     """Recipes in order of doc_id, with the ids and documents before each: sums within ranges on top of the ranges' totals."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ("doc_id", "root", "key")
-    recipes = _parts(spark, path, "recipe").select(*by, "n_tokens", "chunks")
-    ranged = materialize(spark, recipes.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "recipes")
+    recipes = _parts(spark, path, "recipe").select(*by, "n_tokens", "chunks").repartitionByRange(n, *by).sortWithinPartitions(*by)
+    ranged = recipes.mapInArrow(_counted, "doc_id long, root binary, key binary, n_tokens long, chunks array<binary>, part int, docs_before long, ids_before long")
+    ranged = materialize(spark, ranged, "recipes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"))  # a row for each range
     totals = totals.select("part", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("docs"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids"))
-    inside = Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    (
-        ranged.withColumn("_docs", F.count("*").over(inside))
-        .withColumn("_ids", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        .join(F.broadcast(totals), "part")  # no more rows than there are shuffle partitions
-        .select((F.col("docs") + F.col("_docs")).alias("ordinal"), "doc_id", (F.col("ids") + F.col("_ids")).alias("start"), "n_tokens", "root", "chunks")
-        .repartitionByRange(n, "ordinal")
-        .sortWithinPartitions("ordinal")
-        .write.parquet(f"{path}/recipes")
-    )
+    placed = ranged.join(F.broadcast(totals), "part")  # no more rows than there are shuffle partitions
+    placed.select((F.col("docs") + F.col("docs_before")).alias("ordinal"), "doc_id", (F.col("ids") + F.col("ids_before")).alias("start"), "n_tokens", "root", "chunks").write.parquet(f"{path}/recipes")
 
 
 def _sign(spark: SparkSession, path: str) -> None:
@@ -201,23 +221,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
+        decompress = zstandard.ZstdDecompressor().decompress
         hashes, parts, out, held = [], [], [], 0
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["n_chunks"]:
-                    if r["data"] is None:
-                        raise ValueError(f"document {r['doc_id']}: chunk {r['seq']} is not in the store")
-                    data = unpack(r["width"], r["data"]).tobytes()
-                    if _digest(data) != r["key"]:
-                        raise ValueError(f"document {r['doc_id']}: chunk {r['seq']} is damaged")
-                    hashes.append(r["key"])
-                    parts.append(data)
-                if len(hashes) < r["n_chunks"]:
+        for batch in (part for whole in batches for part in slices(whole, "data")):
+            columns = (batch.column(c).to_pylist() for c in ("ordinal", "doc_id", "start", "n_tokens", "root", "n_chunks", "seq", "key", "width", "data"))
+            for ordinal, doc_id, start, n_tokens, root, n_chunks, seq, key, width, data in zip(*columns, strict=True):
+                if n_chunks:
+                    if data is None:
+                        raise ValueError(f"document {doc_id}: chunk {seq} is not in the store")
+                    plain = unpack(width, data, decompress).tobytes()
+                    if _digest(plain) != key:
+                        raise ValueError(f"document {doc_id}: chunk {seq} is damaged")
+                    hashes.append(key)
+                    parts.append(plain)
+                if len(hashes) < n_chunks:
                     continue
                 ids = b"".join(parts)
-                if len(ids) != 4 * r["n_tokens"] or _digest(b"".join(hashes)) != r["root"]:
-                    raise ValueError(f"document {r['doc_id']}: its chunks aren't those of its recipe")
-                out.append((r["ordinal"], r["doc_id"], r["start"], r["n_tokens"], ids))
+                if len(ids) != 4 * n_tokens or _digest(b"".join(hashes)) != root:
+                    raise ValueError(f"document {doc_id}: its chunks aren't those of its recipe")
+                out.append((ordinal, doc_id, start, n_tokens, ids))
                 hashes, parts, held = [], [], held + len(ids)
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from framelake.llm import bpe, token_counts, token_store
-from framelake.llm.queries import op8_bpe, tokenizer_path
+from framelake.llm.queries import op6_token_store, op8_bpe, op10_token_counts, tokenizer_path
 from framelake.llm.tokenization import library_text_encoder
 
 from .conftest import ODD_TEXTS
@@ -93,7 +93,7 @@ def test_empty_tables(no_docs):
 
 
 def test_op8_digests(spark, library):
-    for r in op8_bpe(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").limit(50).collect():
+    for r in op8_bpe(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         ids = ids_of(library, r.text)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
@@ -142,3 +142,40 @@ def test_cuts_follow_content():
     assert token_store.cut_points(ids[:0]) == []
     for ids in (np.array([70000, 1, 2], "<u4"), np.array([5], "<u4")):
         assert (token_store.unpack(*token_store.pack(ids)) == ids).all()
+
+
+def test_queries_against_the_library(spark, library):
+    """op6 and op10 on the whole table, in order."""
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    stored = {r.doc_id: r for r in op6_token_store(spark, "/root/testdata/sf0.01").collect()}
+    counted = {r.doc_id: r for r in op10_token_counts(spark, "/root/testdata/sf0.01").collect()}
+    assert len(stored) == len(counted) == len(rows)
+    start = 0
+    for doc_id, text in rows:
+        ids = ids_of(library, text)
+        data = np.array([*ids, 1], dtype="<u4").tobytes()
+        assert (stored[doc_id].start, stored[doc_id].n_tokens, stored[doc_id].ids_crc32) == (start, len(ids) + 1, zlib.crc32(data))
+        assert (counted[doc_id].n_tokens, counted[doc_id].over_limit) == (len(ids), len(ids) > 2048)
+        start += len(ids) + 1
+
+
+def test_streams_are_cut_apart():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 40000, n).astype("<u4") for n in (1, 0, 3000, 15, 16, 17, 9000)]
+    ends = np.cumsum([len(p) for p in parts])
+    whole = token_store.cut_points(np.concatenate(parts), ends)
+    alone = [c + e - len(p) for p, e in zip(parts, ends.tolist(), strict=True) for c in token_store.cut_points(p)]
+    assert whole == alone
+
+
+def test_long_texts_in_small_slices(library):
+    """Results don't depend on how a batch is sliced."""
+    import pyarrow as pa
+
+    from framelake.llm._common import slices
+
+    texts = ["word and, more " * 2000, None, "é" * 5000, "", "x y <|endoftext|> z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    got = [r for part in slices(batch, "t", 100) for r in part.column(0).to_pylist()]
+    assert got == texts and len(list(slices(batch, "t", 100))) > 2
+    assert list(library_text_encoder(PATH).ids([t or "" for t in texts])) == [np.array(ids_of(library, t), dtype="<u4").tobytes() for t in texts]
