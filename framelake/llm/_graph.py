@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges for each task of a round, so that a small graph leaves few files.
+EDGES = 100_000
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """``node, component`` (both long) for every end of ``edges(a, b)``: the smallest node that can be reached.
 
@@ -18,14 +22,14 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
-    before = None
+    before, tasks = None, -(-max(1, now.count()) // EDGES)
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = small.where("a <> b").distinct().checkpoint()
+        now = small.where("a <> b").distinct().coalesce(tasks).checkpoint()
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if state == before:
             break
