@@ -8,33 +8,36 @@ Four kinds of evidence meet in one posterior per page:
 * the address: priors of the suffix, the domain and the host, each smoothed towards the level above it by ``SMOOTH`` pages,
   from languages that text and declaration suggest, added up over all pages in grouped aggregations.
 
-A page's rows shrink to its evidence before anything is shuffled.  Aggregates are pre-summed on each side, and hosts that
+A page's own share is taken out of every sum that it meets again, so no evidence counts twice.  Sums are arrays with a place for
+each language, so plans don't grow with their number.  A page's rows shrink to its evidence before anything is shuffled.  Aggregates are pre-summed on each side, and hosts that
 hold more than a thousandth of all pages (so there are at most a thousand) are joined by broadcast, the others by shuffle.
 
 Null or empty markup has an even text likelihood and no declaration; a null address is a host of its own; repeated rows
 count each time and get equal results; ties go to the first language in alphabetical order; without labelled documents the
-language is null.  Further columns pass through unless their names are those of the result.
+language is null.  Every labelled language is told apart, however rare.  A page of any length is read whole.  Further columns pass
+through unless their names are those of the result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import functools
 import html as html_lib
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ._common import materialize
+from ._common import materialize, slices
 
-#: Labelled documents learned from at most, trigrams that a text counts as at most, and pages by which a prior is smoothed.
-TRAIN_ROWS, TEXT_WEIGHT, SMOOTH = 2000, 40, 8.0
-#: Buckets of trigrams, as a power of two, and languages told apart at most (the commonest).
-BITS, LANGUAGES = 15, 200
+#: Labelled documents learned from at most (more only if there are so many languages that each gets the least number),
+#: trigrams that a text counts as at most, and pages by which a prior is smoothed.
+TRAIN_ROWS, LEAST_ROWS, TEXT_WEIGHT, SMOOTH = 2000, 20, 40, 8.0
+#: Buckets of trigrams, as a power of two.
+BITS = 15
 
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
 #: A comment, a script or style with what is in it, or an <html> tag, whose attributes are the second group; none reads a part twice.
@@ -93,84 +96,142 @@ def learn(texts: list[str | None], languages: list[str]) -> Profiles:
     return Profiles(names, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS) -> Profiles:
-    """From at most ``rows`` labelled documents: those of the smallest hashes of their ids, in one of the commonest languages."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col("doc_id").isNotNull())
-    common = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()]
-    chosen = labelled.where(F.col(lang_col).isin(common)).select("doc_id", lang_col).orderBy(F.xxhash64("doc_id"), "doc_id", lang_col).limit(rows)
-    chosen = chosen.select("doc_id").distinct()  # at most ``rows``
-    found = labelled.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(text_col, lang_col), F.struct(lang_col, text_col)).alias("d"))
-    table = found.select("doc_id", F.col(f"d.{text_col}").alias("text"), F.lower(f"d.{lang_col}").alias("lang")).toArrow().sort_by("doc_id")
-    return learn(table.column("text").to_pylist(), table.column("lang").to_pylist())
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> Profiles:
+    """From at most ``rows`` labelled documents, or ``least`` a language if that is more: of each language those of the smallest hashes of their ids."""
+    labelled = docs.select(F.col("doc_id").alias("id"), F.lower(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    each = max(least, rows // max(1, languages))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = labelled.select("id", "lang").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= each).select("id", "lang").distinct()
+    found = labelled.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).toArrow()  # ``each`` a language
+    found = found.sort_by([("id", "ascending"), ("lang", "ascending")])
+    return learn(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
-def evidence(pages: DataFrame, profiles: Profiles, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The columns of ``pages`` but the markup, and ``host, domain, suffix, declared, likelihoods``."""
-    new = {"host": T.StringType(), "domain": T.StringType(), "suffix": T.StringType(), "declared": T.StringType(), "likelihoods": T.ArrayType(T.DoubleType())}
-    kept = [f for f in pages.schema.fields if f.name not in (*new, html_col)]
-    names = [f.name for f in kept]
-    shared = pages.sparkSession.sparkContext.broadcast(profiles)  # 2 ** BITS numbers for each of at most LANGUAGES languages
+def evidence(pages: DataFrame, shared) -> DataFrame:
+    """From ``own, url, html``: ``own, host, domain, suffix, declared, likelihoods`` under the broadcast profiles."""
 
     def run(batches):
         profiles = shared.value
-        for batch in batches:
-            where = [address(u) for u in batch.column(url_col).to_pylist()]
-            markup = batch.column(html_col).to_pylist()
-            declared = [d if (d := declared_language(m)) in profiles.languages else None for m in markup]
-            likely = [profiles.likelihoods(visible_text(m)).tolist() for m in markup]
+        known = set(profiles.languages)
+        for batch in (part for whole in batches for part in slices(whole, "html")):
+            where = [address(u) for u in batch.column("url").to_pylist()]
+            markup = batch.column("html").to_pylist()
+            declared = [d if (d := declared_language(m)) in known else None for m in markup]
+            likely = [profiles.likelihoods(visible_text(m)) for m in markup]
             columns = [pa.array([w[k] for w in where], pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns, pa.array(declared, pa.string()), pa.array(likely, pa.list_(pa.float64()))], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *columns, pa.array(declared, pa.string()), pa.array(likely, pa.list_(pa.float64()))], names=["own", "host", "domain", "suffix", "declared", "likelihoods"])
+
+    own = pages.schema["own"]
+    return pages.mapInArrow(run, T.StructType([own, *(T.StructField(c, T.StringType()) for c in ("host", "domain", "suffix", "declared")), T.StructField("likelihoods", T.ArrayType(T.DoubleType()))]))
+
+
+def normalized(logs: np.ndarray) -> np.ndarray:
+    """Probabilities from logarithms, row by row."""
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def declared_logs(text: np.ndarray, declared: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """The log-likelihood of each page's declaration (a row of ``met``, or -1 for none) in each language, without the page's own share.
+
+    With even text evidence a declaration speaks for itself: one page's worth for its own language.
+    """
+    counts = met + np.where(np.eye(len(met), dtype=bool), 1.0, 0.05)
+    out = np.zeros_like(text)
+    with_one = declared >= 0
+    share = normalized(text[with_one])
+    out[with_one] = np.log(np.maximum(counts[declared[with_one]] - share, 0.05)) - np.log(counts.sum(axis=0) - share)
+    return out
+
+
+def smoothed(share: np.ndarray, sums: list[np.ndarray], pages: list[np.ndarray], total: np.ndarray, n_pages: int) -> np.ndarray:
+    """Priors from suffix, domain and host (in this order), each smoothed towards the level above it, without the page's own share."""
+    prior = (total - share + 1.0) / (n_pages - 1 + len(total))
+    for own, n in zip(sums, pages, strict=True):
+        prior = (np.maximum(own - share, 0.0) + SMOOTH * prior) / (n[:, None] - 1 + SMOOTH)
+    return prior
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
-    return pages.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())]))
 
+def _numbers(column: pa.Array, languages: list[str]) -> np.ndarray:
+    at = {name: k for k, name in enumerate(languages)}
+    return np.array([at.get(d, -1) for d in column.to_pylist()], dtype=np.int64)
 
-def _normalized(logs: list[Column]) -> list[Column]:
-    """Probabilities from logarithms."""
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    return [p / functools.reduce(Column.__add__, parts) for p in parts]
+
+def _summed(keys: list[str], batch: pa.RecordBatch, share: np.ndarray) -> pa.RecordBatch:
+    """Pages and shares of a batch, summed by the columns ``keys``."""
+    table = pa.table([batch.column(k) for k in keys] + [pa.array(np.arange(batch.num_rows))], names=[*keys, "row"])
+    groups = table.group_by(keys, use_threads=False).aggregate([("row", "list")])
+    rows = groups.column("row_list").combine_chunks()
+    sizes = np.diff(rows.offsets.to_numpy())
+    sums = np.add.reduceat(share[rows.flatten().to_numpy()], np.cumsum(sizes) - sizes, axis=0) if len(sizes) else np.empty((0, share.shape[1]))
+    return pa.RecordBatch.from_arrays([*(groups.column(k).combine_chunks() for k in keys), pa.array(sizes.astype(np.int64)), pa.array(list(sums), pa.list_(pa.float64()))], names=[*keys, "pages", "sums"])
+
+
+def _level(parts: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """``keys``, pages and the array of sums of each group; a group's arrays are added position by position."""
+    counted = parts.groupBy(*keys).agg(F.sum("pages").alias(f"{mark}_pages"))
+    added = parts.select(*keys, F.posexplode("sums").alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    listed = added.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(f"{mark}_sums"))  # one for each language
+    return counted.join(listed, keys)
 
 
 def identify(spark: SparkSession, pages: DataFrame, profiles: Profiles, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The columns of ``pages`` but the markup, and ``lang``, ``confidence`` (its posterior), ``text_lang`` and ``declared``."""
-    names = profiles.languages
+    names, wide = profiles.languages, len(profiles.languages)
     new = ("lang", "confidence", "text_lang", "declared")
     own = [c for c in pages.columns if c not in (*new, html_col)]
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(new, ("string", "double", "string", "string"), strict=True)]
     if not names:
-        return pages.select(*own, F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("declared"))
-    k = range(len(names))
-    seen = materialize(spark, pages.select(*own, html_col).transform(lambda df: evidence(df.select(F.struct(*own).alias("own"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), profiles)), "evidence")
-    text = [F.col("likelihoods")[i] for i in k]
-
-    soft = _normalized(text)
-    by_declared = seen.where("declared is not null").groupBy("declared").agg(*(F.sum(soft[i]).alias(f"n{i}") for i in k)).collect()  # a row for each language at most
-    met = {r["declared"]: [r[f"n{i}"] for i in k] for r in by_declared}
-    # With even text evidence a declaration speaks for itself: one page's worth for its own language.
-    counts = np.array([[met.get(d, [0.0] * len(names))[i] + (1.0 if d == names[i] else 0.05) for i in k] for d in names])
-    says = np.log(counts / counts.sum(axis=0))
-    declared = [functools.reduce(lambda c, d, i=i: F.when(F.col("declared") == names[d], float(says[d, i])).otherwise(c), k, F.lit(0.0)) for i in k]
-
-    both = [text[i] + declared[i] for i in k]
-    soft = _normalized(both)
-    sums = seen.groupBy("suffix", "domain", "host").agg(F.count("*").alias("pages"), *(F.sum(soft[i]).alias(f"h{i}") for i in k))
-    hosts = materialize(spark, sums, "hosts")
-    total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), *(F.coalesce(F.sum(f"h{i}"), F.lit(0.0)).alias(f"g{i}") for i in k)).first()
-    base = [(total[f"g{i}"] + 1.0) / (total["pages"] + len(names)) for i in k]
-
-    def smoothed(df: DataFrame, key: list[str], mark: str, above: list[Column]) -> DataFrame:
-        level = hosts.groupBy(*key).agg(F.sum("pages").alias(f"_{mark}"), *(F.sum(f"h{i}").alias(f"_{mark}{i}") for i in k))
-        return df.join(level, key).select(*(c for c in df.columns), *(((F.col(f"_{mark}{i}") + SMOOTH * above[i]) / (F.col(f"_{mark}") + SMOOTH)).alias(f"{mark}{i}") for i in k))
-
-    priors = smoothed(hosts, ["suffix"], "s", [F.lit(b) for b in base])
-    priors = smoothed(priors, ["suffix", "domain"], "d", [F.col(f"s{i}") for i in k])
-    priors = priors.select("host", "pages", F.array(*(F.log((F.col(f"h{i}") + SMOOTH * F.col(f"d{i}")) / (F.col("pages") + SMOOTH)) for i in k)).alias("prior"))
-    priors = materialize(spark, priors, "priors")
-
-    often = F.broadcast(priors.where(F.col("pages") * 1000 > total["pages"]).select("host", "prior"))  # fewer than a thousand hosts
-    rare = priors.where(F.col("pages") * 1000 <= total["pages"]).select("host", "prior")
+        return pages.select(*own, *none)
+    shared = spark.sparkContext.broadcast(profiles)  # 2 ** BITS numbers for each language, of which there are no more than labelled rows
+    given = pages.select(F.struct(*own).alias("own"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    seen = materialize(spark, evidence(given, shared), "evidence")
+
+    def by_declaration(batches):
+        for batch in batches:
+            yield _summed(["declared"], batch, normalized(_matrix(batch.column("likelihoods"), wide)))
+
+    parts = seen.where("declared is not null").mapInArrow(by_declaration, "declared string, pages long, sums array<double>")
+    met = np.zeros((wide, wide))
+    for r in _level(parts, ["declared"], "d").collect():  # a row for each language at most
+        met[names.index(r["declared"])] = r["d_sums"]
+    shared_met = spark.sparkContext.broadcast(met)
+
+    def shares(batch):
+        text = _matrix(batch.column("likelihoods"), wide)
+        both = text + declared_logs(text, _numbers(batch.column("declared"), names), shared_met.value)
+        return text, both, normalized(both)
+
+    def by_host(batches):
+        for batch in batches:
+            yield _summed(["suffix", "domain", "host"], batch, shares(batch)[2])
+
+    parts = materialize(spark, seen.mapInArrow(by_host, "suffix string, domain string, host string, pages long, sums array<double>"), "hosts")
+    n_pages = parts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    total = np.zeros(wide)
+    for r in parts.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():  # a row for each language
+        total[r["at"]] = r["x"]
+    levels = _level(parts, ["suffix", "domain", "host"], "h").join(_level(parts, ["suffix", "domain"], "d"), ["suffix", "domain"]).join(_level(parts, ["suffix"], "s"), "suffix")
+    priors = materialize(spark, levels.drop("suffix", "domain"), "priors")
+    # Fewer than a thousand hosts hold more than a thousandth each.
+    often = F.broadcast(priors.where(F.col("h_pages") * 1000 > n_pages))
+    rare = priors.where(F.col("h_pages") * 1000 <= n_pages)
     joined = seen.join(often, "host").unionByName(seen.join(often.select("host"), "host", "left_anti").join(rare, "host"))
 
-    posterior = _normalized([both[i] + F.col("prior")[i] for i in k])
-    fused = joined.select("own", "declared", F.array(*posterior).alias("p"), F.array(*text).alias("t"))
-    name = F.array(*(F.lit(n) for n in names))
-    return fused.select("own.*", F.get(name, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("lang"), F.array_max("p").alias("confidence"), F.get(name, F.array_position("t", F.array_max("t")).cast("int") - 1).alias("text_lang"), "declared")
+    def fuse(batches):
+        label = np.array(names, dtype=object)
+        for batch in batches:
+            text, both, share = shares(batch)
+            sums = [_matrix(batch.column(f"{m}_sums"), wide) for m in "sdh"]
+            held = [batch.column(f"{m}_pages").to_numpy() for m in "sdh"]
+            p = normalized(both + np.log(smoothed(share, sums, held, total, n_pages)))
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(label[p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1)), pa.array(label[text.argmax(axis=1)], pa.string()), batch.column("declared")], names=["own", *new])
+
+    fused = joined.select("own", "declared", "likelihoods", *(f"{m}_{c}" for m in "sdh" for c in ("sums", "pages")))
+    out = fused.mapInArrow(fuse, T.StructType([seen.schema["own"], *(T.StructField(c, T.DoubleType() if c == "confidence" else T.StringType()) for c in new)]))
+    return out.select("own.*", *new)
