@@ -26,6 +26,11 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int = SLICE) -> Iter
         at = end
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int | str) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """Strings without nulls: a null is an empty text."""
     return pc.fill_null(column, "") if column.null_count else column

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import materialize, slices
+from ._common import materialize, sliced
 
 #: Labelled documents learned from at most (more only if there are so many languages that each gets the least number),
 #: trigrams that a text counts as at most, and pages by which a prior is smoothed.
@@ -114,7 +114,7 @@ def evidence(pages: DataFrame, shared) -> DataFrame:
     def run(batches):
         profiles = shared.value
         known = set(profiles.languages)
-        for batch in (part for whole in batches for part in slices(whole, "html")):
+        for batch in sliced(batches, "html"):
             where = [address(u) for u in batch.column("url").to_pylist()]
             markup = batch.column("html").to_pylist()
             declared = [d if (d := declared_language(m)) in known else None for m in markup]

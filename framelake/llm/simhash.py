@@ -12,7 +12,8 @@ of copies cost neither pairs nor memory; what a cell compares falls away as soon
 
 Words are runs of anything but ASCII white space, with A-Z in lower case.  Texts of too few words are one shingle; null,
 empty and blank texts have fingerprint zero and link like any other.  Rows with equal doc_id and different texts are
-joined through their id; a row without doc_id takes its class's component (null if no row of its component has one).
+joined through their id; a row without doc_id takes its class's component (null if no row of its component has one).  Texts of any
+length count whole; further columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, sliced
 from ._graph import components
 
 #: Words in a shingle, seed of its hash, bits in which linked fingerprints differ at most, and bits of a segment.
@@ -63,7 +64,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, fp`` (the fingerprint as a signed long)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

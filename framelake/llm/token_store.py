@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, slices, texts_of
+from ._common import materialize, sliced, texts_of
 from .tokenization import library_text_encoder
 
 #: Ids that the rolling hash looks back, bits that must be zero at a cut, and the longest chunk.
@@ -110,7 +110,7 @@ def _coded(df: DataFrame, tokenizer_path: str, end_id: int | None) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=3).compress
         seen: set[bytes] = set()
         ordinal = 0
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in sliced(batches, 1):
             ids, ends = encoder.coded(texts_of(batch.column(1)))
             if end_id is not None:
                 ids = np.insert(ids, ends, end_id).astype("<u4", copy=False)
@@ -223,7 +223,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         decompress = zstandard.ZstdDecompressor().decompress
         hashes, parts, out, held = [], [], [], 0
-        for batch in (part for whole in batches for part in slices(whole, "data")):
+        for batch in sliced(batches, "data"):
             columns = (batch.column(c).to_pylist() for c in ("ordinal", "doc_id", "start", "n_tokens", "root", "n_chunks", "seq", "key", "width", "data"))
             for ordinal, doc_id, start, n_tokens, root, n_chunks, seq, key, width, data in zip(*columns, strict=True):
                 if n_chunks:
