@@ -13,7 +13,9 @@ hits are joined by hash and by item in shuffles, which adaptive execution splits
 
 Tokens are runs of anything but white space, in lower case, without ASCII punctuation at the ends; tokens of
 punctuation alone don't count.  Null and empty texts match nothing; rows without an id are left out; of repeated rows the
-best overlap is reported once.  Items of fewer tokens than the shortest mask can't be told from chance and match nothing.
+best overlap is reported once, of equally good ones the first in the text.  An item of fewer tokens than the shortest mask is
+hashed whole and matches where all its tokens stand in a row; one of fewer than ``RUN`` tokens matches only texts that hold nothing else.
+Texts of any length are searched whole; further columns are ignored, whatever their names; an empty table gives no overlap.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, sliced
 
 #: Fixed masks: 1 for a token that counts, 0 for one that may differ.  One of them fits in every overlap that suffices, tried for all of 13 to 25 tokens.
 MASKS = ("1110111", "11011011", "110101011", "1110010011")
+#: Fewest tokens of an item that is looked for inside longer texts.
+RUN = 3
 #: Equal tokens that an overlap needs, and their share in it.
 MIN_MATCHED, MIN_SHARE = 13, 0.8
 #: Tokens of all items up to which they are broadcast, and the most bits of the filter.
@@ -58,9 +62,21 @@ def token_hashes(text: str | None, known: _Tokens) -> np.ndarray:
     return h[h != 0]
 
 
-def seed_hashes(tokens: np.ndarray, mask: int) -> np.ndarray:
-    """The hash of mask number ``mask`` at every position where it fits."""
-    shape = MASKS[mask]
+_LEAST = min(map(len, MASKS))
+
+
+def shapes_of(sizes: Iterable[int]) -> list[tuple[int, str]]:
+    """Numbered shapes to look for: the masks and, for each length of a shorter item, all of it."""
+    return [*enumerate(MASKS), *((100 + n, "1" * n) for n in sorted({n for n in sizes if 0 < n < _LEAST}))]
+
+
+def own_shapes(n: int) -> list[tuple[int, str]]:
+    """The shapes of an item of ``n`` tokens."""
+    return shapes_of([n]) if n >= _LEAST else shapes_of([n])[len(MASKS) :]
+
+
+def seed_hashes(tokens: np.ndarray, mask: int, shape: str) -> np.ndarray:
+    """The hash of the shape of number ``mask`` at every position where it fits."""
     n = len(tokens) - len(shape) + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
@@ -111,7 +127,7 @@ class Items:
         known = _Tokens()
         tokens = [token_hashes(t, known) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens], dtype=np.int64)))
-        found = [(h, i) for i, t in enumerate(tokens) for m in range(len(MASKS)) if len(h := seed_hashes(t, m))]
+        found = [(h, i) for i, t in enumerate(tokens) for m, shape in own_shapes(len(t)) if len(h := seed_hashes(t, m, shape))]
         hashes = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
         item = np.concatenate([np.full(len(h), i) for h, i in found]) if found else np.empty(0, np.int64)
         position = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.empty(0, np.int64)
@@ -206,13 +222,14 @@ def _broadcast(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
     def run(batches):
         known, seen = shared.value
         memo = _Tokens()
-        for batch in batches:
+        shapes = shapes_of(np.diff(known.starts).tolist())
+        for batch in sliced(batches, 1):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = token_hashes(text, memo)
                 shifts: set[tuple[int, int]] = set()
-                for m in range(len(MASKS)):
-                    h = seed_hashes(tokens, m)
+                for m, shape in shapes:
+                    h = seed_hashes(tokens, m, shape)
                     at = seen.has(h) if len(h) else h
                     if len(at):
                         low, high = np.searchsorted(known.hashes, h[at]), np.searchsorted(known.hashes, h[at], side="right")
@@ -220,6 +237,8 @@ def _broadcast(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
                             shifts.update((i, p - q) for i, q in zip(known.item[a:b].tolist(), known.position[a:b].tolist(), strict=True))
                 best: dict = {}
                 for i, shift in shifts:
+                    if len(known.of_item(i)) < RUN and len(tokens) != len(known.of_item(i)):
+                        continue
                     _best(best, int(known.ids[i]), overlap(tokens, known.of_item(i), shift))
                 out += [(doc_id, i, *hit) for i, hit in best.items()]
             yield _rows(_NAMES, out)
@@ -233,8 +252,8 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFra
         for batch in batches:
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = token_hashes(text, memo)
-                for m in range(len(MASKS)):
-                    h = seed_hashes(t, m)
+                for m, shape in own_shapes(len(t)):
+                    h = seed_hashes(t, m, shape)
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item_id)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item_id", "position"])
 
@@ -245,14 +264,16 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFra
 
     seeds = materialize(spark, items.mapInArrow(split, "h long, item_id long, position int"), "seeds")
     seen = spark.sparkContext.broadcast(_build_filter(seeds, seeds.count()))
-    longest = items.mapInArrow(tokens, "item_id long, item array<long>").agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()[0]
+    sizes = items.mapInArrow(tokens, "item_id long, item array<long>").select(F.size("item").alias("n"))
+    longest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    shapes = shapes_of([r["n"] for r in sizes.where(F.col("n") < _LEAST).distinct().collect()])  # fewer than the shortest mask is long
 
     def stretches(batches):
         memo = _Tokens()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = token_hashes(text, memo)
-                hits = [(int(p), int(h[p])) for m in range(len(MASKS)) if len(h := seed_hashes(t, m)) for p in seen.value.has(h)]
+                hits = [(int(p), int(h[p])) for m, shape in shapes if len(h := seed_hashes(t, m, shape)) for p in seen.value.has(h)]
                 if not hits:
                     continue
                 hits.sort()
@@ -261,26 +282,26 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFra
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     start, end = max(0, int(positions[a]) - longest), int(positions[b - 1]) + longest
                     yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": doc_id, "start": start, "doc": t[start:end].view(np.int64), "hits": [{"h": h - (1 << 64) if h >> 63 else h, "p": p} for p, h in hits[a:b]]}],
-                        schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("doc", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())])))]),
+                        [{"doc_id": doc_id, "start": start, "size": len(t), "doc": t[start:end].view(np.int64), "hits": [{"h": h - (1 << 64) if h >> 63 else h, "p": p} for p, h in hits[a:b]]}],
+                        schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("doc", pa.list_(pa.int64())), ("hits", pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32())])))]),
                     )
 
-    spans = materialize(spark, docs.mapInArrow(stretches, "doc_id long, start int, doc array<long>, hits array<struct<h:long,p:int>>").withColumn("span", F.xxhash64("doc_id", "start", "doc")), "spans")
+    spans = materialize(spark, docs.mapInArrow(stretches, "doc_id long, start int, size int, doc array<long>, hits array<struct<h:long,p:int>>").withColumn("span", F.xxhash64("doc_id", "start", "doc")), "spans")
     hits = spans.select("doc_id", "span", F.explode("hits").alias("hit")).select("doc_id", "span", "hit.h", "hit.p").join(seeds, "h")
     pairs = hits.select("doc_id", "span", "item_id", (F.col("p") - F.col("position")).alias("shift")).distinct()
     texts = items.mapInArrow(tokens, "item_id long, item array<long>")
-    both = pairs.join(texts, "item_id").join(spans.select("doc_id", "span", "start", "doc").distinct(), ["doc_id", "span"])
+    both = pairs.join(texts, "item_id").join(spans.select("doc_id", "span", "start", "size", "doc").distinct(), ["doc_id", "span"])
 
     def verify(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 hit = overlap(np.array(r["doc"], dtype=np.int64), np.array(r["item"], dtype=np.int64), r["shift"] - r["start"])
-                if hit:
+                if hit and (len(r["item"]) >= RUN or r["size"] == len(r["item"])):
                     out.append((r["doc_id"], r["item_id"], hit[0] + r["start"], *hit[1:]))
             yield _rows(_NAMES, out)
 
-    return both.select("doc_id", "item_id", "shift", "start", "doc", "item").mapInArrow(verify, _OUT)
+    return both.select("doc_id", "item_id", "shift", "start", "size", "doc", "item").mapInArrow(verify, _OUT)
 
 
 def remove(spark: SparkSession, df: DataFrame, items: DataFrame) -> DataFrame:
