@@ -1,15 +1,17 @@
 """Quality scores by supervised subword embeddings.
 
-A text's features are the hashes of its words, of the 3- and 4-byte pieces of its words (which include a mark at either
-end) and one for a word said twice in a row.  Each feature has a learned vector; a document is the mean of its features' vectors, and
+A text's features are the hashes of its words, of pairs of words in a row (by the difference of their hashes, so that all words said twice share one), and of the 3- and 4-character pieces of its words
+(which include a mark at either end).  Each feature has a learned vector; a document is the mean of its features' vectors, and
 a softmax layer turns it into the probability of label 1.  Vectors and layer are fitted by stochastic gradient descent
 in numpy on a bounded sample of labelled rows; every document is scored in one pass that needs no shuffle.
 
 The softmax over two labels depends on the difference of its logits only, which is linear in the mean, so scoring looks up one
 number for each feature.
 
-Null and empty texts have no feature and get the model's prior.  Repeated rows are scored alike; of several labels of one
-doc_id the largest counts.  Labels other than 0 and 1 are ignored; without any, every score is 0.5.
+Null and empty texts have no feature and get the model's prior.  Texts of any length count whole.  Repeated rows are scored alike;
+of several labels of one doc_id the largest counts, of several texts the smallest.  Labels other than 0 and 1 are ignored;
+without any, every score is 0.5.  Further columns pass through, whatever their names, but for ``score`` and ``predicted``, which
+give way to the results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import sliced
+
 #: Labelled rows learned from at most (those of the smallest hashes of their ids), and the probability of a good text.
 TRAIN_ROWS, THRESHOLD = 4000, 0.7
 #: Hash buckets (as a power of two), dimensions, passes, rows in a step, learning rate, and by what it is larger for vectors,
@@ -31,10 +35,10 @@ BITS, DIM, EPOCHS, BATCH, RATE, SCALE = 16, 8, 6, 16, 0.5, 100
 #: Steps made at least, with more passes where rows are few.
 LEAST_STEPS = 1500
 
-_BLANK = re.compile(rb"[\x00-\x20]+")
+_BLANK = re.compile("[\x00-\x20]+")
 _POWERS = np.cumprod(np.array([1, *[0x100000001B3] * 255], dtype=np.uint64), dtype=np.uint64)
-#: Bytes of text turned into features at once.
-_PIECE = 1_000_000
+#: Characters of text turned into features at once, up to the end of a word.
+_PIECE = 500_000
 
 
 @dataclass
@@ -60,31 +64,31 @@ def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def features(text: str | None):
-    """Buckets of all features of a text, in arrays of bounded size; words over a megabyte are cut there."""
-    data = _BLANK.sub(b" ", (text or "").encode())
-    at = 0
+def features(text: str | None, piece: int = _PIECE):
+    """Buckets of all features of a text, in arrays for pieces that end with a word; where they end changes no feature."""
+    data = _BLANK.sub(" ", text or "").strip(" ")
+    at, before = 0, None
     while at < len(data):
-        end = at + _PIECE
-        if end < len(data):
-            cut = data.rfind(b" ", at, end)
-            end = cut if cut > at else end
-        if piece := data[at:end].strip(b" "):
-            yield _features(np.frombuffer(b" " + piece + b" ", dtype=np.uint8))
-        at = end
+        cut = data.find(" ", at + piece)
+        end = cut if cut >= 0 else len(data)
+        found, before = _features(np.frombuffer(f" {data[at:end]} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64), before)
+        yield found
+        at = end + 1
 
 
-def _features(b: np.ndarray) -> np.ndarray:
-    wide, blank = b.astype(np.uint64), b == 0x20
+def _features(c: np.ndarray, before: np.uint64 | None) -> tuple[np.ndarray, np.uint64]:
+    """Buckets of a run of words, the pair with the word before it included, and the hash of the last word."""
+    blank = c == 0x20
     edges = np.flatnonzero(blank)
-    starts, sizes = edges[:-1] + 1, np.diff(edges) - 1
-    place = (np.arange(len(b) - 1) - np.repeat(edges[:-1], sizes + 1)) & 255
-    words = np.add.reduceat((wide[:-1] + np.uint64(1)) * _POWERS[place], edges[:-1])
+    sizes = np.diff(edges)
+    place = (np.arange(len(c) - 1) - np.repeat(edges[:-1], sizes)) & 255
+    words = np.add.reduceat((c[:-1] + np.uint64(1)) * _POWERS[place], edges[:-1])
     inner = ~blank[1:-1]  # what stands between the ends of a piece may not be blank
-    three = wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)
-    four = three[:-1] | wide[3:] << np.uint64(24)
-    twice = np.count_nonzero(words[1:] == words[:-1])
-    return np.concatenate((_bucket(words, 1), _bucket(three[inner], 2), _bucket(four[inner[:-1] & inner[1:]], 3), np.zeros(twice * 8, dtype=np.int64)))
+    three = c[:-2] | c[1:-1] << np.uint64(21) | c[2:] << np.uint64(42)
+    four = three[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ c[3:]
+    line = words if before is None else np.concatenate(([before], words))
+    pairs = line[1:] - line[:-1]
+    return np.concatenate((_bucket(words, 1), _bucket(three[inner], 2), _bucket(four[inner[:-1] & inner[1:]], 3), _bucket(pairs, 4))), words[-1]
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
@@ -138,10 +142,10 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``rows`` labelled documents that are not held out."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"]).toArrow()  # at most ``rows``
-    found = found.sort_by("doc_id")
+    marked = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).where("id is not null and y in (0, 1)")
+    chosen = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")  # at most ``rows``
+    found = found.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toArrow().sort_by("id")
     return train(found.column("text").to_pylist(), found.column("y").to_pylist())
 
 
@@ -153,7 +157,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, text_col):
             s = model.scores(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
