@@ -8,7 +8,8 @@ The template writes a turn as ``<s>role\\ntext</s>``.  Control strings inside ro
 their first character, and backslashes are doubled, so both can be read back exactly.
 
 Turns are ordered by turn, then role, then text (nulls first); equal rows all stay.  A null role or text counts as
-empty; rows without conv_id form one conversation.  Further columns are ignored.  A conversation has to fit into one row.
+empty; rows without conv_id form one conversation.  Further columns are ignored, whatever their names.  A conversation has to
+fit into one row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
