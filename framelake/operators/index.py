@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.rational import div
@@ -77,12 +79,38 @@ def gaps(entries: DataFrame, key: str) -> DataFrame:
     return entries.withColumn("missing", F.lead("position").over(w) - F.col("position") - 1).where("missing > 0").select(key, "position", "missing")
 
 
+def _in_load_order(batches):
+    """``status`` of segments (key, load_order, start, duration, ...) in order of key and load order."""
+    key = end = None  # end: where the last kept one ends; -1 after one without a duration
+    broken = False
+    for batch in batches:
+        said = []
+        for k, start, duration in zip(*(batch.column(n).to_pylist() for n in ("key", "start", "duration")), strict=True):
+            if end is None or k != key:
+                key, end, broken = k, 0, False
+            if broken:
+                said.append("unread")
+            elif end < 0 or start < end:
+                said.append("ignored")
+            elif start > end:
+                said.append("sparse")
+                broken = True
+            else:
+                said.append("kept")
+                end = end + duration if duration else -1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, "status"])
+
+
 def merge_constant_segments(segments: DataFrame, key: str) -> DataFrame:
-    """Segments of constant size in load order: one that overlaps what came before is ignored; ``contiguous`` tells whether the next starts where they end."""
-    w = Window.partitionBy(key).orderBy("start_position", "load_order")
-    reach = F.max(F.col("start_position") + F.col("duration")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = segments.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("start_position") >= F.col("_reach")))
-    return kept.withColumn("contiguous", F.coalesce(F.lag(F.col("start_position") + F.col("duration")).over(w) == F.col("start_position"), F.lit(True))).drop("_reach")
+    """Segments (start_position, duration, load_order) of constant edit unit size with the ``status`` that inserting them in load order gives.
+
+    "ignored": it starts before the last kept one ends, or that one has no duration; "sparse": it starts after that (the first: after 0), which is
+    an error, and the index's later ones are "unread"; else "kept".  One pass over sorted rows, with no more state than the last kept one.
+    """
+    rows = segments.select(F.col(key).alias("key"), "load_order", F.col("start_position").alias("start"), "duration")
+    rows = rows.repartition("key").sortWithinPartitions("key", "load_order", "start", "duration")
+    out = rows.mapInArrow(_in_load_order, T.StructType([*rows.schema.fields, T.StructField("status", T.StringType())]))
+    return out.select(F.col("key").alias(key), "load_order", F.col("start").alias("start_position"), "duration", "status")
 
 
 def split_by_size(entries: DataFrame, key: str, per_segment: int) -> DataFrame:

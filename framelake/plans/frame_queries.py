@@ -263,11 +263,25 @@ def w14_gaps(spark, sf_dir):
     return X.gaps(table(spark, sf_dir, "events").select(F.col("user_id").alias("track"), F.col("event_id").alias("position")), "track")
 
 
-@query("""WITH s AS (SELECT o_custkey AS track, o_orderkey * 7 % 100 AS a, 10 AS d, o_orderkey AS n FROM orders), k AS (SELECT *, max(a + d) OVER (PARTITION BY track ORDER BY a, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
-SELECT track, n AS load_order, coalesce(lag(a + d) OVER (PARTITION BY track ORDER BY a, n) = a, true) AS contiguous FROM k WHERE reach IS NULL OR a >= reach""")
+@query("""WITH RECURSIVE o AS (SELECT o_custkey AS track, o_orderkey AS load_order, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (SELECT *, greatest(n - 1 - load_order % 2, 0) * 10 + CASE WHEN load_order % 61 = 0 THEN 40 ELSE 0 END AS a, CASE WHEN load_order % 53 = 0 THEN 0 ELSE 10 + load_order % 3 // 2 * 10 END AS d FROM o),
+r AS (SELECT track, 0 AS n, CAST(NULL AS BIGINT) AS load_order, CAST(0 AS BIGINT) AS last_end, CAST(1 AS BIGINT) AS last_dur, 'kept' AS status FROM (SELECT DISTINCT track FROM s)
+UNION ALL
+SELECT s.track, s.n, s.load_order,
+  CASE WHEN r.status NOT IN ('sparse', 'unread') AND r.last_dur > 0 AND s.a = r.last_end THEN s.a + s.d ELSE r.last_end END,
+  CASE WHEN r.status NOT IN ('sparse', 'unread') AND r.last_dur > 0 AND s.a = r.last_end THEN s.d ELSE r.last_dur END,
+  CASE WHEN r.status IN ('sparse', 'unread') THEN 'unread' WHEN r.last_dur = 0 OR s.a < r.last_end THEN 'ignored' WHEN s.a <> r.last_end THEN 'sparse' ELSE 'kept' END
+FROM r JOIN s ON s.track = r.track AND s.n = r.n + 1)
+SELECT track, load_order, status FROM r WHERE n > 0""")
 def w15_merge_constant(spark, sf_dir):
-    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), (F.col("o_orderkey") * 7 % 100).alias("start_position"), F.lit(10).cast("long").alias("duration"), F.col("o_orderkey").alias("load_order"))
-    return X.merge_constant_segments(s, "track").select("track", "load_order", "contiguous")
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("track"), F.col("o_orderkey").alias("load_order"), n.alias("n"))
+    k = F.col("load_order")
+    start = F.greatest(F.col("n") - 1 - k % 2, F.lit(0)) * 10 + F.when(k % 61 == 0, 40).otherwise(0)
+    s = o.select("track", "load_order", start.alias("start_position"), F.when(k % 53 == 0, 0).otherwise(10 + F.floor(k % 3 / 2) * 10).alias("duration"))
+    return X.merge_constant_segments(s, "track").select("track", "load_order", "status")
 
 
 @query(f"WITH {_FRAMES} SELECT track, position, position // 3 AS segment, position // 4 AS partition FROM f")

@@ -426,10 +426,15 @@ def b17_strings(spark, sf_dir):
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_LINES} SELECT event_id, CASE WHEN did = 67 AND sdid = 2 THEN 'subtitling distribution' WHEN did = 65 AND sdid = 1 THEN 'video payload identification' WHEN did = 65 AND sdid = 5 THEN 'AFD and bar data' WHEN did = 65 AND sdid = 6 THEN 'pan-scan' "
-       "WHEN did = 69 AND sdid = 1 THEN 'audio metadata' WHEN did = 96 AND sdid = 96 THEN 'timecode' WHEN did = 97 AND sdid = 1 THEN 'EIA-708 captions' WHEN did = 97 AND sdid = 2 THEN 'EIA-608 captions' WHEN did = 98 AND sdid = 2 THEN 'VBI data' END AS name FROM l")
+_REGISTRY = "t (did, sdid, name) AS (VALUES " + ", ".join([*(f"({d}, NULL, '{n}')" for d, n in R.TYPE_1), *(f"({d}, {x}, '{n}')" for d, x, n in R.TYPE_2)]) + ")"
+
+
+@query(f"""WITH {_REGISTRY}, l AS (SELECT event_id, event_id % 256 AS did, CASE WHEN event_id % 3 = 0 THEN event_id % 256 ELSE event_id // 256 % 16 END AS sdid FROM events)
+SELECT event_id, name FROM l LEFT JOIN t ON t.did = l.did AND (l.did >= 128 OR t.sdid = l.sdid)""")
 def b5_packet_names(spark, sf_dir):
-    return lines(spark, sf_dir).select("event_id", R.packet_name(F.col("did"), F.col("sdid")).alias("name"))
+    did = F.col("event_id") % 256
+    sdid = F.when(F.col("event_id") % 3 == 0, did).otherwise(F.floor(F.col("event_id") / 256) % 16)
+    return table(spark, sf_dir, "events").select("event_id", R.packet_name(did, sdid).alias("name"))
 
 
 @query("""SELECT conv_id, '<Manifest><FileList>' || string_agg('<File><Name>&lt;' || turn || '&gt;&amp;</Name><Size>' || octet_length(encode(text)) || '</Size><Checksum type="md5">' || md5(text) || '</Checksum></File>', '' ORDER BY turn) || '</FileList></Manifest>' AS manifest FROM conversations GROUP BY conv_id""")
