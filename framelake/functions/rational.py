@@ -172,3 +172,10 @@ def parse_rate(text: Column) -> Column:
     for alias, rate in (("23976", 24000), ("2997", 30000), ("5994", 60000)):
         out = out.when(text == alias, made(F.lit(rate), F.lit(1001)))
     return out.when(text.rlike(r"^\d{1,9}$"), made(F.try_to_number(text, F.lit("999999999")), F.lit(1)))
+
+
+def pcm_duration(container: Number, start: Number, end: Number, sequence: Column | None = None) -> Column:
+    """Samples of a track between its start and end offsets, or with a cycle of samples the whole frames in them; 0 below none."""
+    kept = lit(container) - lit(start) + lit(end)
+    made = duration_lower(kept, sequence) if sequence is not None else kept
+    return F.when(kept <= 0, F.lit(0).cast("long")).otherwise(made)

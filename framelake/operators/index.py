@@ -173,3 +173,12 @@ def gop_statistics(frames: DataFrame, key: str) -> DataFrame:
     types = tagged.groupBy(key, "_g").agg(F.count("*").alias("n"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("position", "type"))), lambda x: x["type"])).alias("types"), F.bool_or(F.col("gop") & F.col("closed")).alias("closed"))
     g = types.groupBy(key).agg(F.max("n").alias("max_gop"), F.bool_and("closed").alias("all_closed"), (F.count_distinct("types") == 1).alias("identical_gops"))
     return g.join(b, key, "left").select(key, F.when(F.col("max_gop") <= 65535, F.col("max_gop")).alias("max_gop"), "all_closed", "identical_gops", F.coalesce("max_b_run", F.lit(0).cast("long")).alias("max_b_run"), F.coalesce("constant_b", F.lit(True)).alias("constant_b"))
+
+
+def append_entries(entries: DataFrame, frames: DataFrame, key: str) -> DataFrame:
+    """Entries, and plain ones for frames beyond the last indexed position, as a file that grows gets them while it is read."""
+    have = entries.groupBy(key).agg((F.max("position") + 1).alias("_size"))
+    new = frames.join(have, key, "left").where(F.col("position") >= F.coalesce("_size", F.lit(0)))
+    plain = {c: F.lit(0) for c in ("temporal_offset", "key_frame_offset", "flags")}
+    own = [key, "position", *plain, "offset"]
+    return entries.select(own).unionByName(new.withColumns(plain).select(own))

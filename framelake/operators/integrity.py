@@ -109,3 +109,10 @@ def header_violations(headers: DataFrame, expected: DataFrame) -> DataFrame:
     """Header fields (stream, field, value) that aren't what a profile's table (field, low, high) allows."""
     joined = headers.join(F.broadcast(expected), "field")  # a profile's few dozen rows
     return joined.where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")) | F.col("value").isNull()).select("stream", "field", "value")
+
+
+def excess_padding(data: Column, size: Column) -> Column:
+    """Whether what lies beyond ``size`` bytes may be cut off: its first and its last four bytes are zeros, as far as there are any."""
+    total = F.length(data)
+    zeros = lambda at: F.hex(F.substring(data, at + 1, F.lit(4))).rlike("^0*$")
+    return zeros(size) & zeros(F.greatest(size, total - 4))

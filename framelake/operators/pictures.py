@@ -131,3 +131,17 @@ def external_files(tracks: DataFrame, files: DataFrame) -> DataFrame:
     name = known.groupBy("_name").agg(F.min("path").alias("_by_name"))
     both = by_path.withColumn("_n", F.regexp_extract("locator", r"([^/\\]*)$", 1)).join(name, F.col("_n") == F.col("_name"), "left")
     return both.withColumn("resolved", F.coalesce("_path", "_by_name")).drop("_path", "_n", "_name", "_by_name")
+
+
+def size_state(fields: Column, first: Column, second: Column) -> Column:
+    """What is known of a picture's size (bytes of its frame or its two fields): ``null`` for 0, ``unknown`` for no value, else ``complete``."""
+    of = lambda test: F.when(fields, test(first) | test(second)).otherwise(test(first))
+    return F.when(of(lambda x: F.coalesce(x == 0, F.lit(False))), "null").when(of(lambda x: x.isNull()), "unknown").otherwise("complete")
+
+
+def completed_size(fields: Column, first: Column, second: Column, data: Column) -> Column:
+    """``struct<first, second>`` once all ``data`` bytes are there: an open frame takes them all, an open second field what the first leaves."""
+    open_ = (size_state(fields, first, second) == "unknown") & (data > 0)
+    pair = open_ & fields & first.isNotNull()
+    whole = open_ & ~pair
+    return F.struct(F.when(whole, data).otherwise(first).alias("first"), F.when(pair & (first < data), data - first).when(~whole, second).alias("second"))

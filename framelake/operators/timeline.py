@@ -171,15 +171,54 @@ def merge_properties(tracks: DataFrame, keys: Sequence[str], properties: Sequenc
     return tracks.groupBy(*keys).agg(*(all_equal(F.col(p)).alias(p) for p in properties), F.sum("duration").alias("duration"))
 
 
-def match_segments(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First-fit pairing of a segment's tracks with a sequence's: the n-th new one with the n-th compatible existing one."""
+def match_segments(new: DataFrame, existing: DataFrame, keys: Sequence[str], group: str | None = None) -> DataFrame:
+    """First-fit pairing of a segment's tracks with a sequence's: the n-th new one with the n-th compatible existing one.
+
+    With ``group``, rows are (group, keys, id, duration) and all pairs of a group come to one duration: that of its
+    first pair, which is the first new track that any existing one is compatible with, and the first of these.
+    """
+    if group:
+        alike = existing.groupBy(group, *keys).agg(F.min_by("duration", "old_id").alias("_d"))
+        total = new.join(alike, [group, *keys]).groupBy(group).agg(F.min_by(F.col("duration") + F.col("_d"), "new_id").alias("_total"))
+        new = new.join(total, group, "left").withColumn("_rest", F.col("_total") - F.col("duration"))
+        existing = existing.select(group, *keys, "old_id", F.col("duration").alias("_rest"))
+        keys = [group, *keys, "_rest"]
     w = lambda c: Window.partitionBy(*keys).orderBy(c)
     a = new.withColumn("_n", F.row_number().over(w("new_id")))
     b = existing.withColumn("_n", F.row_number().over(w("old_id")))
-    return a.join(b, [*keys, "_n"], "left").drop("_n")
+    return a.join(b, [*keys, "_n"], "left").drop("_n", "_rest", "_total")
 
 
 def fill_positions(frames: DataFrame, key: str) -> DataFrame:
     """A row for every position up to the last, with 0 samples where a frame has none."""
     span = frames.groupBy(key).agg(F.max("position").alias("_last")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))).alias("position"))
     return span.join(frames, [key, "position"], "left").withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
+
+
+def misplaced_dependencies(segments: DataFrame, key: str) -> DataFrame:
+    """Segments (by ``segment``) of a sequence with precharge though they aren't its first, or rollout though they aren't its last."""
+    w = Window.partitionBy(key).orderBy("segment")
+    first, last = F.lag("segment").over(w).isNull(), F.lead("segment").over(w).isNull()
+    marked = segments.withColumns({"precharge_problem": ~first & (F.col("precharge") > 0), "rollout_problem": ~last & (F.col("rollout") > 0)})
+    return marked.where("precharge_problem or rollout_problem")
+
+
+def complete_sequences(inputs: DataFrame, key: str) -> DataFrame:
+    """Sequences and how many of their inputs are incomplete; only those without any can be read."""
+    return inputs.groupBy(key).agg(F.count_if(~F.coalesce("complete", F.lit(False))).alias("incomplete")).withColumn("readable", F.col("incomplete") == 0)
+
+
+def skip_precharge(samples: DataFrame, read: str = "read", precharge: str = "precharge") -> DataFrame:
+    """Samples but those of the precharge: ``read`` counts what a track has read, from 0, and begins anew after it."""
+    return samples.where(F.col(read) >= F.col(precharge)).withColumn(read, F.col(read) - F.col(precharge))
+
+
+def reads(tracks: DataFrame, n: int) -> DataFrame:
+    """Reads of ``n`` samples each from ``start`` (below 0 in lead filler) to ``stop``: position, samples, offset of the first sample.
+
+    Samples before position 0 aren't there, so the read that reaches it gives fewer, after an offset; those wholly before it give none.
+    """
+    span = tracks.where(F.col("stop") > F.greatest("start", F.lit(0))).withColumn("position", F.explode(F.expr(f"sequence(cast(start as bigint), cast(stop - 1 as bigint), {int(n)}L)")))
+    skipped = F.greatest(-F.col("position"), F.lit(0).cast("long"))
+    end = F.least(F.col("position") + n, F.col("stop"))
+    return span.withColumns({"first_sample_offset": F.least(skipped, F.lit(n).cast("long")), "samples": F.greatest(F.lit(0).cast("long"), end - F.col("position") - skipped)})

@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from ..functions.rational import convert_position, rate_factors
 
 
+#: Types that a user may declare to be D-10.
+ASSUMABLE = ("Picture", "MPEG-2 Long GOP 422P@ML 576i")
+
+
 def parse_ranges(text: str) -> list[tuple[int, int]]:
     """``0-3,5`` as pairs; a range whose first is above its last is invalid."""
     out = []
@@ -115,3 +119,23 @@ def essence_kind(kinds: dict[str, str], essence: Column) -> Column:
 def sampled(frames: DataFrame, keys: Sequence[str], n: int = 2) -> DataFrame:
     """The first ``n`` frames of each track, from which a few properties are read."""
     return frames.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("position"))).where(F.col("_n") <= n).drop("_n")
+
+
+def assumed_type(essence: Column, is_mpeg_video: Column, assumed: str) -> Column:
+    """Essence type by a user's word for it: generic or 576-line long-GOP pictures in an MPEG video container are ``assumed``."""
+    return F.when(essence.isin(*ASSUMABLE) & is_mpeg_video, F.lit(assumed)).otherwise(essence)
+
+
+def segment_totals(parts: DataFrame, key: str) -> DataFrame:
+    """Segments that aren't filler, and the sum of their known durations."""
+    return parts.groupBy(key).agg(F.count_if(~F.col("filler")).alias("segments"), F.coalesce(F.sum(F.when(~F.col("filler"), F.col("duration"))), F.lit(0).cast("long")).alias("duration"))
+
+
+def file_ids(tracks: DataFrame, key: str, internal: bool = False) -> DataFrame:
+    """Each file of a group once; with ``internal`` only files that hold their essence themselves."""
+    return (tracks.where("internal") if internal else tracks).select(key, "file_id").distinct()
+
+
+def text_objects(members: DataFrame, key: str) -> DataFrame:
+    """Text objects of a group's members as one list: member by member in input order, numbered from 0 as ``at``."""
+    return ranked(members, [key], [F.col("member"), F.col("object")]).withColumnRenamed("rank", "at")

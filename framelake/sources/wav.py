@@ -109,3 +109,11 @@ def build(pcm: np.ndarray, rate: int, bits: int = 16, bext: dict | None = None,
     rest = b"".join(parts) + data
     ds64 = _chunk(b"ds64", struct.pack("<QQQI", 4 + 36 + len(rest), len(body), len(pcm), 0))
     return b"RF64\xff\xff\xff\xffWAVE" + ds64 + rest
+
+
+def chunk_ids(text: str) -> tuple[bool, set[str]]:
+    """(whether all are meant, ids filled up to four characters) of a list such as ``ubxt,axml``."""
+    ids = [x.strip() for x in text.split(",") if x.strip()]
+    if not ids:
+        raise ValueError("a list of chunk ids can't be empty")
+    return ("all" in ids, set()) if "all" in ids else (False, {x.ljust(4)[:4] for x in ids})

@@ -81,3 +81,10 @@ def join_package(video: DataFrame, audio: DataFrame, key: str, delay: str = "10
     b = audio.withWatermark("ts", delay).alias("b")
     near = F.col("b.ts").between(F.col("a.ts") - F.expr(f"interval {delay}"), F.col("a.ts") + F.expr(f"interval {delay}"))
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.position") == F.col("b.position")) & near)
+
+
+def pace(frames: int, num: int, den: int, factor: float = 1.0) -> str:
+    """Trigger interval at which batches of ``frames`` come at ``factor`` times real time, for ``trigger(processingTime=...)``."""
+    if min(frames, num, den) <= 0 or factor <= 0:
+        raise ValueError("frames, rate and factor must be above 0")
+    return f"{max(1, round(1000 * frames * den / (num * factor)))} milliseconds"
