@@ -34,8 +34,9 @@ def timecode_dump(frames: DataFrame, slots: Sequence[str]) -> DataFrame:
     return frames.withColumn("line", F.concat_ws(" ", *(F.coalesce(F.col(s), F.lit(NO_TIMECODE)) for s in slots)))
 
 
-def crc_dump(rows: DataFrame, keys: Sequence[str], track: str, crc: str, tracks: Sequence[int]) -> DataFrame:
-    """A row for each frame with a column for each track."""
+def crc_dump(rows: DataFrame, keys: Sequence[str], track: str, crc: str, tracks: Sequence[int] | None = None) -> DataFrame:
+    """A row for each frame with a column for each track: those given, or all that occur (a clip has few), in order."""
+    tracks = sorted(r[0] for r in rows.where(F.col(track).isNotNull()).select(track).distinct().collect()) if tracks is None else tracks
     wide = rows.groupBy(*keys).pivot(track, list(tracks)).agg(F.max(crc))
     return wide.select(*keys, *(F.coalesce(F.col(str(t)), F.lit(NO_CRC)).alias(f"track_{t}") for t in tracks))
 

@@ -121,7 +121,7 @@ def stream_bytes(ranges: DataFrame, key: str, data: DataFrame, data_key: str) ->
     cut = ranges.join(data.select(F.col(data_key).alias("_file"), "content"), F.col("file") == F.col("_file"))
     piece = F.substring("content", F.col("offset").cast("int") + 1, F.col("size").cast("int"))
     rows = cut.select(key, F.struct("seq", piece.alias("b")).alias("p")).groupBy(key).agg(F.sort_array(F.collect_list("p")).alias("_p"))
-    return rows.select(key, F.aggregate("_p", F.lit(b""), lambda s, x: F.concat(s, x["b"])).alias("content"))
+    return rows.select(key, F.unhex(F.array_join(F.transform("_p", lambda x: F.hex(x["b"])), "")).alias("content"))
 
 
 def external_files(tracks: DataFrame, files: DataFrame) -> DataFrame:

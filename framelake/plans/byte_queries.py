@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +33,27 @@ def query(sql: str | None = None):
 
 
 def each(df: DataFrame, make: Callable[[tuple], Iterable[dict]], schema: str) -> DataFrame:
-    """Rows that ``make`` gives for each row of ``df``, batch by batch."""
+    """Rows that ``make`` gives for each row of ``df``, in batches of a bounded number of rows."""
     fields = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(fields)
 
     def run(batches):
         for batch in batches:
-            rows = [out for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for out in make(row)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = (out for at in range(0, batch.num_rows, 64) for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True) for out in make(row))
+            while some := list(islice(rows, 1000)):
+                yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     return df.mapInArrow(run, fields)
 
 
-@query("""SELECT doc_id, CAST(k * (octet_length(encode(text)) + 21) AS BIGINT) AS "offset", CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS md5, 352388352 AS track FROM documents, (SELECT unnest([0, 1]) AS k) WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, CAST(k * (octet_length(encode(text)) + 21) AS BIGINT) AS "offset", CAST(octet_length(encode(text)) AS BIGINT) AS size, md5(text) AS md5, 352388352 AS track FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), (SELECT unnest([0, 1]) AS k)""")
 def s22_klv(spark, sf_dir):
     def parse(row):
         data = klv.build(KEY, row[1].encode()) * 2
         for r in klv.parse(data):
             yield {"doc_id": row[0], "offset": r["offset"], "size": r["size"], "value": r["value"], "track": klv.track_number(bytes.fromhex(r["key"]))}
 
-    out = each(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), parse, "doc_id long, offset long, size long, value binary, track long")
+    out = each(table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit(""))), parse, "doc_id long, offset long, size long, value binary, track long")
     return out.select("doc_id", "offset", "size", F.md5("value").alias("md5"), "track")
 
 
@@ -65,20 +67,23 @@ def s16_wave(spark, sf_dir):
     return each(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), parse, "vec_id long, channel int, samples int, checksum long, rate int")
 
 
-@query("SELECT doc_id, k AS position, substr(md5(text), CAST(k * 10 + 1 AS BIGINT), 10) AS payload FROM documents, (SELECT unnest([0, 1, 2]) AS k) WHERE text IS NOT NULL")
+@query("SELECT doc_id, position, md5(array_slice(data, position * 64 + 1, position * 64 + 64)) AS md5 FROM (SELECT doc_id, encode(text) AS data, unnest(range(octet_length(encode(text)) // 64)) AS position FROM documents WHERE text IS NOT NULL)")
 def s18_fixed_frames(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).cast("binary").alias("data"))
-    out = each(docs, lambda row: ({"doc_id": row[0], "position": r["position"], "payload": r["payload"]} for r in klv.fixed_frames(row[1], 10)), "doc_id long, position long, payload binary")
-    return out.select("doc_id", "position", F.col("payload").cast("string").alias("payload"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    out = each(docs, lambda row: ({"doc_id": row[0], "position": r["position"], "payload": r["payload"]} for r in klv.fixed_frames(row[1], 64)), "doc_id long, position long, payload binary")
+    return out.select("doc_id", "position", F.md5("payload").alias("md5"))
 
 
-@query("SELECT doc_id, substr(md5(text), 1, 5) || substr(md5(text), 11, 7) AS content FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(array_slice(data, 1, n // 3) || array_slice(data, n // 2 + 1, n)) AS md5, n // 3 + n - n // 2 AS bytes FROM (SELECT doc_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) AS n FROM documents)")
 def s13_stream_ranges(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).cast("binary").alias("content"))
-    parts = F.array(F.struct(F.lit(1).alias("seq"), F.lit(10).alias("offset"), F.lit(7).alias("size")), F.struct(F.lit(0).alias("seq"), F.lit(0).alias("offset"), F.lit(5).alias("size")))
-    ranges = docs.select("doc_id", F.col("doc_id").alias("file"), F.explode(parts).alias("p")).select("doc_id", "file", "p.*")
+    """The first third and the second half of each whole text, the later one listed first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    n = F.length("content").cast("long")
+    half, third = F.floor(n / 2), F.floor(n / 3)
+    part = lambda seq, offset, size: F.struct(F.lit(seq).alias("seq"), offset.alias("offset"), size.alias("size"))
+    ranges = docs.select("doc_id", F.col("doc_id").alias("file"), F.explode(F.array(part(1, half, n - half), part(0, F.lit(0).cast("long"), third))).alias("p")).select("doc_id", "file", "p.*")
     out = Q.stream_bytes(ranges, "doc_id", docs.withColumnRenamed("doc_id", "id"), "id")
-    return out.select("doc_id", F.col("content").cast("string").alias("content"))
+    return out.select("doc_id", F.md5("content").alias("md5"), F.length("content").cast("long").alias("bytes"))
 
 
 @query("""SELECT event_id, c AS channel, printf('%02X%02X', v % 256, v // 256) || printf('%02X%02X', w % 256, w // 256) AS pcm
@@ -114,12 +119,10 @@ def b8_exp_golomb(spark, sf_dir):
     return each(table(spark, sf_dir, "events").select("event_id"), read, "event_id long, ue long, se long")
 
 
-@query("SELECT event_id // 600 AS track, event_id % 600 AS position, event_id % 600 // 4 * 8 + [0, 6, 2, 4][event_id % 600 % 4 + 1] AS order_count, event_id % 600 // 4 * 4 + [0, 3, 1, 2][event_id % 600 % 4 + 1] AS display FROM events WHERE event_id < (SELECT count(*) // 4 * 4 FROM events)")
+@query("WITH p AS (SELECT event_id // 600 AS track, event_id % 600 AS position, event_id % 600 // 4 * 8 + [0, 6, 2, 4][event_id % 600 % 4 + 1] AS order_count FROM events) SELECT *, row_number() OVER (PARTITION BY track ORDER BY order_count) - 1 AS display FROM p")
 def w19_order_count(spark, sf_dir):
     at = F.col("event_id") % 600
-    events = table(spark, sf_dir, "events")
-    n = events.count() // 4 * 4
-    p = events.where(F.col("event_id") < n).select(
+    p = table(spark, sf_dir, "events").select(
         (F.col("event_id") / 600).cast("int").alias("track"), at.alias("position"), (at == 0).alias("idr"), (at % 4 < 2).alias("reference"), F.lit(0).alias("frame_num"),
         ((F.floor(at / 4) * 8 + F.get(F.array(*map(F.lit, (0, 6, 2, 4))), (at % 4).cast("int"))) % 16).cast("int").alias("lsb"), F.lit(0).alias("delta"), F.lit(False).alias("reset"),
     )

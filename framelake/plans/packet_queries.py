@@ -88,12 +88,12 @@ def b4_packet_ids(spark, sf_dir):
     return e.select("event_id", P.packet_ids(F.col("payload"), F.col("coding")).alias("i")).select("event_id", "i.did", "i.sdid")
 
 
-@query("SELECT doc_id, 0 AS line_idx, 9 AS line_number, CAST(doc_id % 4 AS INTEGER) AS coding, octet_length(encode(text)) + (4 - octet_length(encode(text)) % 4) % 4 AS bytes, text || repeat(chr(0), CAST((4 - octet_length(encode(text)) % 4) % 4 AS INTEGER)) AS text FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, 0 AS line_idx, 9 AS line_number, CAST(doc_id % 4 AS INTEGER) AS coding, octet_length(encode(text)) + (4 - octet_length(encode(text)) % 4) % 4 AS bytes, text || repeat(chr(0), CAST((4 - octet_length(encode(text)) % 4) % 4 AS INTEGER)) AS text FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")
 def b3_element_round_trip(spark, sf_dir):
     """Texts as payloads of one line each, built and parsed again."""
     import pyarrow as pa
 
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def build(batches):
         for batch in batches:
@@ -177,9 +177,9 @@ def m9_locators(spark, sf_dir):
 # --- integrity -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
 def a3_digests(spark, sf_dir):
-    return G.digests(table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"), "text").select("doc_id", "md5", "sha1")
+    return G.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "md5", "sha1")
 
 
 @query()
@@ -272,10 +272,12 @@ def k11_timecode_dump(spark, sf_dir):
     return V.timecode_dump(e, ["vitc", "ltc"]).select("event_id", "line")
 
 
-@query("SELECT conv_id, coalesce(max(md5(text)) FILTER (turn = 0), '????') AS track_0, coalesce(max(md5(text)) FILTER (turn = 1), '????') AS track_1, coalesce(max(md5(text)) FILTER (turn = 5), '????') AS track_5 FROM conversations GROUP BY conv_id")
+@query("SELECT k.conv_id, string_agg(coalesce(c.crc, '????'), ' ' ORDER BY t.turn) AS line FROM (SELECT DISTINCT conv_id FROM conversations) k CROSS JOIN (SELECT DISTINCT turn FROM conversations) t LEFT JOIN (SELECT conv_id, turn, max(md5(text)) AS crc FROM conversations GROUP BY 1, 2) c ON c.conv_id = k.conv_id AND c.turn = t.turn GROUP BY 1")
 def k12_crc_dump(spark, sf_dir):
+    """A line for each conversation with the digests of all turns that occur."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("crc"))
-    return V.crc_dump(c, ["conv_id"], "turn", "crc", [0, 1, 5])
+    wide = V.crc_dump(c, ["conv_id"], "turn", "crc")
+    return wide.select("conv_id", F.concat_ws(" ", *wide.columns[1:]).alias("line"))
 
 
 @query("SELECT vec_id, i + 100 AS track_number, CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS crc32 FROM embeddings, (SELECT unnest(range(64)) AS i)")
