@@ -11,47 +11,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rational import div
 
 
-def pcm_channels(tracks: DataFrame, key: str) -> DataFrame:
-    """PCM channels of tracks (track, is_pcm, channels, bits) numbered from 0 in track order."""
-    each = tracks.where("is_pcm").select(key, "track", "bits", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("channel"))
-    return each.withColumn("input", F.row_number().over(Window.partitionBy(key).orderBy("track", "channel")) - 1)
+def _so_far(key: str):
+    return Window.partitionBy(key).orderBy("track", "channel").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _other(tracks: DataFrame, key: str) -> DataFrame:
-    return tracks.where("not is_pcm").select(key, "track", F.lit(0).alias("channel"), "bits")
+def _inputs(tracks: DataFrame, key: str) -> DataFrame:
+    """A row (channel, ``_pcm``, ``_input``) for each PCM channel and each other track; ``_input`` counts the PCM ones."""
+    last = F.when(F.col("is_pcm"), F.col("channels") - 1).otherwise(0)
+    rows = tracks.where("is_pcm is not null and (not is_pcm or channels > 0)").select(key, "track", F.explode(F.sequence(F.lit(0), last)).alias("channel"), F.col("is_pcm").alias("_pcm"))
+    return rows.withColumn("_input", F.sum(F.col("_pcm").cast("int")).over(_so_far(key)).cast("int") - 1)
 
 
 def mono_map(tracks: DataFrame, key: str) -> DataFrame:
     """An output for each PCM channel and each other track, in input order: out_track, out_channel, track, channel."""
-    both = pcm_channels(tracks, key).drop("input").unionByName(_other(tracks, key))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("track", "channel")) - 1
-    return both.select(key, rank.alias("out_track"), F.lit(0).alias("out_channel"), "track", "channel")
+    return _inputs(tracks, key).select(key, rank.alias("out_track"), F.lit(0).alias("out_channel"), "track", "channel")
 
 
 def stereo_map(tracks: DataFrame, key: str) -> DataFrame:
-    """Pairs of PCM channels across tracks, an odd last one with silence (null track); others keep their own output."""
-    pcm = pcm_channels(tracks, key)
-    last = pcm.groupBy(key).agg(F.max("input").alias("input")).where("input % 2 = 0").select(key, (F.col("input") + 1).alias("input"))
-    silence = last.select(key, F.lit(None).cast("int").alias("track"), F.lit(None).cast("int").alias("channel"), "input")
-    pairs = pcm.select(key, "track", "channel", "input").unionByName(silence).withColumn("pair", div(F.col("input"), 2))
-    starts = pairs.where("input % 2 = 0").select(key, "pair", F.col("track").alias("_at"), F.col("channel").alias("_ch"))
-    outputs = starts.unionByName(_other(tracks, key).select(key, F.lit(None).cast("long").alias("pair"), F.col("track").alias("_at"), F.col("channel").alias("_ch")))
-    ranked = outputs.withColumn("out_track", F.row_number().over(Window.partitionBy(key).orderBy("_at", "_ch")) - 1)
-    sound = pairs.join(ranked.where("pair is not null"), [key, "pair"]).select(key, "out_track", (F.col("input") % 2).alias("out_channel"), "track", "channel")
-    return sound.unionByName(ranked.where("pair is null").select(key, "out_track", F.lit(0).alias("out_channel"), F.col("_at").alias("track"), F.lit(0).alias("channel")))
+    """Pairs of PCM channels across tracks, an odd last one with silence (null track); others keep their own output.
+
+    An output stands where the first of its pair does.
+    """
+    pcm, odd = F.col("_pcm"), F.col("_input") % 2
+    own = F.struct("track", "channel")
+    at = F.when(~pcm, own).otherwise(F.last(F.when(pcm & (odd == 0), own), ignorenulls=True).over(_so_far(key)))
+    alone = pcm & (odd == 0) & (F.col("_input") == F.max(F.when(pcm, F.col("_input"))).over(Window.partitionBy(key)))
+    placed = _inputs(tracks, key).withColumns({"_at": at, "_alone": alone}).withColumn("out_track", F.dense_rank().over(Window.partitionBy(key).orderBy("_at")) - 1)
+    sound = F.struct(F.when(pcm, odd).otherwise(0).alias("out_channel"), "track", "channel")
+    nothing = F.struct(F.lit(1).alias("out_channel"), F.lit(None).cast(tracks.schema["track"].dataType).alias("track"), F.lit(None).cast("int").alias("channel"))
+    return placed.select(key, "out_track", F.inline(F.when(F.col("_alone"), F.array(sound, nothing)).otherwise(F.array(sound))))
 
 
 def single_map(tracks: DataFrame, key: str) -> DataFrame:
     """All PCM channels in one output, which stands where the first of them is; others keep their own."""
-    pcm = pcm_channels(tracks, key)
-    first = pcm.where("input = 0").select(key, F.col("track").alias("_at"), F.lit(True).alias("_pcm"))
-    outputs = first.unionByName(_other(tracks, key).select(key, F.col("track").alias("_at"), F.lit(False).alias("_pcm")))
-    ranked = outputs.withColumn("out_track", F.row_number().over(Window.partitionBy(key).orderBy("_at")) - 1)
-    sound = pcm.join(ranked.where("_pcm").select(key, "out_track"), key).select(key, "out_track", F.col("input").alias("out_channel"), "track", "channel")
-    return sound.unionByName(ranked.where("not _pcm").select(key, "out_track", F.lit(0).alias("out_channel"), F.col("_at").alias("track"), F.lit(0).alias("channel")))
+    pcm = F.col("_pcm")
+    at = F.when(pcm, F.min(F.when(pcm, F.col("track"))).over(Window.partitionBy(key))).otherwise(F.col("track"))
+    placed = _inputs(tracks, key).withColumn("_at", at).withColumn("out_track", F.dense_rank().over(Window.partitionBy(key).orderBy("_at")) - 1)
+    return placed.select(key, "out_track", F.when(pcm, F.col("_input")).otherwise(0).alias("out_channel"), "track", "channel")
 
 
 def parse_definition(text: str) -> list[dict]:

@@ -51,20 +51,13 @@ def description_text(chars: DataFrame, keys: Sequence[str], start: int = 2, end:
 
     ``complete`` tells whether that end was seen. Start and end characters are part of the text.
     """
-    ordered = chars.where("ch <> 0").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "ch"))).alias("_c"))
-    initial = F.struct(F.lit("").alias("text"), F.lit(False).alias("armed"), F.lit(False).alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        return F.when(s["done"], s).otherwise(
-            F.struct(
-                F.concat(s["text"], F.char(x["ch"])).alias("text"),
-                (s["armed"] | (x["ch"] == start)).alias("armed"),
-                (s["armed"] & (x["ch"] == end)).alias("done"),
-            )
-        )
-
-    folded = F.aggregate("_c", initial, step)
-    return ordered.select(*keys, folded.alias("_f")).select(*keys, F.col("_f.text").alias("text"), F.col("_f.done").alias("complete"))
+    ordered = chars.where("ch <> 0").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "ch"))), lambda x: x["ch"]).alias("_c"))
+    begun = ordered.withColumn("_s", F.array_position("_c", F.lit(start).cast(chars.schema["ch"].dataType)))
+    after = F.slice("_c", F.col("_s").cast("int") + 1, F.size("_c"))
+    ended = begun.withColumn("_e", F.when(F.col("_s") > 0, F.array_position(after, F.lit(end).cast(chars.schema["ch"].dataType))).otherwise(F.lit(0)))
+    done = F.col("_e") > 0
+    kept = F.slice("_c", 1, F.when(done, F.col("_s") + F.col("_e")).otherwise(F.size("_c")).cast("int"))
+    return ended.select(*keys, F.array_join(F.transform(kept, lambda c: F.char(c)), "").alias("text"), done.alias("complete"))
 
 
 def static_text_char(text: str, position: Column, start: int = 2, end: int = 3) -> Column:

@@ -71,9 +71,13 @@ def crc_result(counts: DataFrame, key: str, track: str) -> DataFrame:
 
 
 def capped_violations(rows: DataFrame, check: str, order: Sequence[str], most: int) -> DataFrame:
-    """At most ``most`` reports for each check (a report's limit), with the number there are."""
-    w = Window.partitionBy(check)
-    return rows.withColumns({"occurrence": F.row_number().over(w.orderBy(*order)), "occurrences": F.count("*").over(w)}).where(F.col("occurrence") <= most)
+    """At most ``most`` reports for each check (a report's limit), with the number there are.
+
+    Ranks are limited before the shuffle and numbers pre-summed, so that a frequent check is no burden to one task.
+    """
+    ranked = rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(check).orderBy(*order))).where(F.col("occurrence") <= most)
+    counts = rows.groupBy(F.col(check).alias("_check")).agg(F.count("*").alias("occurrences"))
+    return ranked.join(counts, F.col(check).eqNullSafe(F.col("_check"))).drop("_check")
 
 
 def sane_segments(segments: DataFrame, key: str) -> DataFrame:
