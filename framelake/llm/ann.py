@@ -199,10 +199,9 @@ def nearest(spark: SparkSession, df: DataFrame, is_query, id_col: str = "vec_id"
                     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(parts, pa.int32()), pa.array([1] * len(rows), pa.int32()), part.column("vec_id"), part.column("vec")], names=["cell", "sub", "kind", "vec_id", "vec"])
                     rows, cells, parts = [], [], []
 
-    n_subs = F.lit(1)
-    for c, n in subs.items():
-        if n > 1:
-            n_subs = F.when(F.col("cell") == c, n).otherwise(n_subs)
+    blocks = np.ones(len(books[0]) * wide, np.int32)
+    blocks[list(subs)] = list(subs.values())
+    n_subs = F.get(F.lit(blocks), F.col("cell"))  # one literal, whatever the number of cells
     entries = placed.select("cell", F.pmod(F.xxhash64("vec_id"), n_subs).cast("int").alias("sub"), F.lit(0).alias("kind"), "vec_id", "vec")
     queries = placed.where(is_query).select("vec_id", "vec").mapInArrow(visit, "cell int, sub int, kind int, vec_id long, vec array<double>")
     ordered = entries.unionAll(queries).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "kind", "vec_id")
