@@ -1,11 +1,13 @@
 """Token counts without token ids.
 
-Within each partition the pre-tokens of a document become frequencies, every distinct pre-token is counted once, and
-the two are joined and summed.  Nothing is shuffled and no id list is built, so cost follows the distinct words and a
-word that a third of the corpus holds is no hot key.
+One pass over the texts writes each document's distinct pre-tokens with their frequencies. Every distinct pre-token of
+the corpus is counted once, and the counts are joined to the frequencies and summed by document; no id list of a document is
+built. The counts are broadcast while their table is small enough for Spark's limit, and joined by a shuffle, which adaptive
+execution splits where a word is frequent, beyond it. Rows are numbered in the pass that writes them, so that a lost task changes nothing.
 
 Null and empty texts count zero tokens and zero bytes; texts of any length are counted whole; repeated rows are counted row by
-row; further columns pass through, but for those named like the results, which give way; an empty table gives an empty one.
+row; further columns (of types that Parquet holds) pass through, but for those named like the results, which give way; an empty table gives
+an empty one. A SentencePiece model counts each distinct text as a whole, as its rules about white space hold for whole texts.
 """
 
 from __future__ import annotations
@@ -17,57 +19,68 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import slices, texts_of
-from .tokenization import CACHE_ENTRIES, numbered_units, word_tokenizer
+from ._common import materialize, slices, texts_of
+from .tokenization import CACHE_ENTRIES, numbered_units, spread, word_tokenizer
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 2048
 
 
 class _Numbers(dict):
-    """Numbers units in the order in which they are first asked for."""
+    """Numbers its keys in the order in which they are first asked for."""
 
-    def __missing__(self, unit):
-        n = self[unit] = len(self)
+    def __missing__(self, key):
+        n = self[key] = len(self)
         return n
 
 
-class PieceCounts:
-    """The number of tokens of each distinct unit of text met so far by this worker."""
+class PieceFrequencies:
+    """Pre-tokens of texts with how often each stands in a text; words met before are not split again."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer, self._entries = word_tokenizer(path), entries
-        self._model = self.tokenizer.library.model
         self._clear()
 
     def _clear(self) -> None:
-        self._numbers, self._counts = _Numbers(), np.empty(0, dtype=np.int64)
+        self._units, self._pieces = _Numbers(), _Numbers()
+        self.names = pa.array([], pa.string())  # of all pieces
+        self._flat, self._ends, self._special = np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, bool)  # pieces of units one after another, where each unit's end
 
-    def totals(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text: frequencies of its units times the count of each, summed."""
-        if len(self._numbers) > self._entries:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of texts (none null), numbers of their pieces, frequencies; and the number of special tokens in each text."""
+        if len(self._units) > self._entries:
             self._clear()
-        units, sizes = numbered_units(self.tokenizer, texts, self._numbers.__getitem__)
+        units, sizes = numbered_units(self.tokenizer, texts, self._units.__getitem__)
         self._learn()
-        upto = np.concatenate(([0], np.cumsum(self._counts[units])))
-        ends = np.cumsum(sizes)
-        return upto[ends] - upto[ends - sizes]
+        text = np.repeat(np.arange(len(texts)), sizes)
+        special = np.bincount(text[self._special[units]], minlength=len(texts))
+        k = np.diff(self._ends)[units]
+        pieces, all_ = self._flat[spread(self._ends[:-1][units], k)], max(1, len(self._pieces))
+        keys, n = np.unique(np.repeat(text, k) * all_ + pieces, return_counts=True)
+        return keys // all_, keys % all_, n, special
 
     def _learn(self) -> None:
-        """Count every distinct pre-token of the units that are new."""
-        new = list(itertools.islice(self._numbers, len(self._counts), None))
+        """Split the units that are new."""
+        new, known = list(itertools.islice(self._units, len(self._special), None)), len(self._pieces)
         if not new:
             return
         is_word = np.fromiter((isinstance(u, str) and u[:1] not in ("", "\0") for u in new), dtype=bool, count=len(new))
-        rest = [u for u, word in zip(new, is_word.tolist(), strict=True) if not word]
+        rest = [u for u, word in zip(new, is_word.tolist(), strict=True) if not word]  # special tokens, pieces of odd texts and nothing
         pieces, at, of = self.tokenizer.pieces_of_words([u for u, word in zip(new, is_word.tolist(), strict=True) if word])
-        tokenize, counts = self._model.tokenize, np.zeros(len(new), dtype=np.int64)
-        tokens = np.fromiter((len(tokenize(p)) for p in pieces), dtype=np.int64, count=len(pieces))
-        counts[is_word] = np.bincount(of, tokens[at], minlength=int(is_word.sum())).astype(np.int64)
-        counts[~is_word] = [1 if isinstance(u, int) else len(tokenize(u[1:])) if u else 0 for u in rest]
-        self._counts = np.concatenate((self._counts, counts))
+        numbers = np.fromiter(map(self._pieces.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        counts = np.zeros(len(new), dtype=np.int64)
+        counts[is_word] = np.bincount(of, minlength=int(is_word.sum()))
+        counts[~is_word] = [isinstance(u, str) and u != "" for u in rest]
+        flat, of_word = np.empty(int(counts.sum()), dtype=np.int64), np.repeat(is_word, counts)
+        flat[of_word] = numbers[at]
+        flat[~of_word] = [self._pieces[u[1:]] for u in rest if isinstance(u, str) and u]
+        self._flat = np.concatenate((self._flat, flat))
+        self._ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(counts)))
+        self._special = np.concatenate((self._special, np.fromiter((not isinstance(u, str) for u in new), dtype=bool, count=len(new))))
+        self.names = pa.concat_arrays([self.names, pa.array(list(itertools.islice(self._pieces, known, None)), pa.string())])
 
 
 class SentencePieceCounts:
@@ -85,24 +98,85 @@ class SentencePieceCounts:
 
 
 @functools.lru_cache(maxsize=2)
-def _counts(path: str):
-    return SentencePieceCounts(path) if path.endswith(".model") else PieceCounts(path)
+def _frequencies(path: str) -> PieceFrequencies:
+    return PieceFrequencies(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _whole_texts(path: str) -> SentencePieceCounts:
+    return SentencePieceCounts(path)
+
+
+_NEW = ("n_bytes", "n_tokens", "over_limit")
+
+
+def frequencies(df: DataFrame, tokenizer_path: str, text_col: str) -> DataFrame:
+    """For each row a head (``row``, ``head``, ``n_bytes``, ``special``), and ``row, piece, n`` for each distinct pre-token of its text."""
+    kept = F.struct(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(df.schema.fields) if f.name not in (text_col, *_NEW)), F.lit(True).alias("is_row"))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), kept.alias("head"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("head", rows.schema["head"].dataType), *T._parse_datatype_string("n_bytes long, special long, piece string, n long").fields])
+
+    def run(batches):
+        found = _frequencies(tokenizer_path)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = texts_of(part.column("text"))
+                at, piece, n, special = found.of(texts)
+                heads, none = len(texts), pa.nulls(len(at), pa.int64())
+                size = pc.binary_length(texts).cast(pa.int64())
+                head = part.column("head").take(pa.concat_arrays([pa.array(np.arange(heads)), none]))
+                columns = [
+                    part.column("row").take(pa.array(np.concatenate((np.arange(heads), at)))),
+                    head,
+                    pa.concat_arrays([size, none]),
+                    pa.concat_arrays([pa.array(special.astype(np.int64)), none]),
+                    pa.concat_arrays([pa.nulls(heads, pa.string()), found.names.take(pa.array(piece))]),
+                    pa.concat_arrays([pa.nulls(heads, pa.int64()), pa.array(n.astype(np.int64))]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def piece_counts(pieces: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``piece, tokens``: the tokens of each distinct ``piece``."""
+
+    def run(batches):
+        tokenize = word_tokenizer(tokenizer_path).library.model.tokenize
+        for batch in batches:
+            tokens = [len(tokenize(p)) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], names=["piece", "tokens"])
+
+    return pieces.where("piece is not null").select("piece").distinct().mapInArrow(run, "piece string, tokens long")
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """The columns of ``df`` but the text, and ``n_bytes long``, ``n_tokens long`` and ``over_limit boolean``."""
-    new = ("n_bytes", "n_tokens", "over_limit")
-    kept = [f for f in df.schema.fields if f.name not in (text_col, *new)]
+    if tokenizer_path.endswith(".model"):
+        return _by_whole_texts(df, tokenizer_path, text_col, limit)
+    spark = df.sparkSession
+    stored = materialize(spark, frequencies(df, tokenizer_path, text_col), "frequencies")
+    counts = materialize(spark, piece_counts(stored, tokenizer_path), "counts")
+    sums = stored.where("piece is not null").select("row", "piece", "n").join(counts, "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("found"))
+    heads = stored.where("head is not null").select("row", "head", "n_bytes", "special").join(sums, "row", "left")
+    total = F.col("special") + F.coalesce("found", F.lit(0).cast("long"))
+    kept = [f.name for f in df.schema.fields]
+    out = [F.col(f"head.c{k}").alias(name) for k, name in enumerate(kept) if name not in (text_col, *_NEW)]
+    return heads.select(*out, "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))
+
+
+def _by_whole_texts(df: DataFrame, tokenizer_path: str, text_col: str, limit: int) -> DataFrame:
+    kept = [f for f in df.schema.fields if f.name not in (text_col, *_NEW)]
     names = [f.name for f in kept]
 
     def run(batches):
-        counts = _counts(tokenizer_path)
+        counts = _whole_texts(tokenizer_path)
         for batch in batches:
             for part in slices(batch, text_col):
                 texts = texts_of(part.column(text_col))
                 n = counts.totals(texts)
                 size = pc.binary_length(texts).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), size, pa.array(n), pa.array(n > limit)], names=[*names, *new])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), size, pa.array(n), pa.array(n > limit)], names=[*names, *_NEW])
 
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
     return df.mapInArrow(run, schema)

@@ -204,7 +204,7 @@ class TextEncoder:
             gc.enable()
         starts, sizes = self._ends[:-1][numbers], np.diff(self._ends)[numbers]
         upto = np.concatenate(([0], np.cumsum(sizes)))
-        return self._table[_spread(starts, sizes)], upto[np.cumsum(counts)]
+        return self._table[spread(starts, sizes)], upto[np.cumsum(counts)]
 
     def ids(self, texts: list[str]) -> Iterable[bytes]:
         """Little-endian 32-bit ids of each text, in order."""
@@ -233,7 +233,7 @@ class TextEncoder:
         counts[is_word] = np.bincount(of, sizes[at], minlength=int(is_word.sum())).astype(np.int64)
         flat = np.empty(int(counts.sum()), dtype="<u4")
         word_ids = np.repeat(is_word, counts)
-        flat[word_ids] = ids[_spread(starts[at], sizes[at])]
+        flat[word_ids] = ids[spread(starts[at], sizes[at])]
         flat[~word_ids] = np.frombuffer(b"".join(others), dtype="<u4")
         self._table = np.concatenate((self._table, flat))
         self._ends = np.concatenate((self._ends, self._ends[-1] + np.cumsum(counts)))
@@ -245,7 +245,7 @@ def _joined(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each run of ``sizes``, one run after another."""
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     at += np.arange(len(at))
