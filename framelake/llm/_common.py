@@ -66,11 +66,11 @@ def removed_at_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
-def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, which cuts its lineage.
 
     The files outlive any executor; Hadoop removes them when the application ends.
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(removed_at_exit(spark, path))

@@ -2,8 +2,8 @@
 
 One pass over the texts writes each document's distinct pre-tokens with their frequencies. Every distinct pre-token of
 the corpus is counted once, and the counts are joined to the frequencies and summed by document; no id list of a document is
-built. The counts are broadcast while their table is small enough for Spark's limit, and joined by a shuffle, which adaptive
-execution splits where a word is frequent, beyond it. Rows are numbered in the pass that writes them, so that a lost task changes nothing.
+built. Counts of frequent pre-tokens, whose number is bounded by arithmetic, are broadcast, so that no hot key is shuffled; the
+others are joined by a shuffle. Rows are numbered in the pass that writes them, so that a lost task changes nothing.
 
 Null and empty texts count zero tokens and zero bytes; texts of any length are counted whole; repeated rows are counted row by
 row; further columns (of types that Parquet holds) pass through, but for those named like the results, which give way; an empty table gives
@@ -27,6 +27,8 @@ from .tokenization import CACHE_ENTRIES, numbered_units, spread, word_tokenizer
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 2048
+#: A pre-token is frequent that holds over one in so many of all frequencies; fewer than these are, of at most so many characters.
+FREQUENT, SHORT = 200_000, 64
 
 
 class _Numbers(dict):
@@ -139,15 +141,15 @@ def frequencies(df: DataFrame, tokenizer_path: str, text_col: str) -> DataFrame:
 
 
 def piece_counts(pieces: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``piece, tokens``: the tokens of each distinct ``piece``."""
+    """``piece, held, tokens``: the rows that hold each distinct ``piece``, and its tokens."""
 
     def run(batches):
         tokenize = word_tokenizer(tokenizer_path).library.model.tokenize
         for batch in batches:
             tokens = [len(tokenize(p)) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64())], names=["piece", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64())], names=["piece", "held", "tokens"])
 
-    return pieces.where("piece is not null").select("piece").distinct().mapInArrow(run, "piece string, tokens long")
+    return pieces.where("piece is not null").groupBy("piece").agg(F.count("*").alias("held")).mapInArrow(run, "piece string, held long, tokens long")
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -155,9 +157,15 @@ def token_counts(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
     if tokenizer_path.endswith(".model"):
         return _by_whole_texts(df, tokenizer_path, text_col, limit)
     spark = df.sparkSession
-    stored = materialize(spark, frequencies(df, tokenizer_path, text_col), "frequencies")
-    counts = materialize(spark, piece_counts(stored, tokenizer_path), "counts")
-    sums = stored.where("piece is not null").select("row", "piece", "n").join(counts, "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("found"))
+    stored = materialize(spark, frequencies(df, tokenizer_path, text_col), "frequencies", "zstd")
+    counts = materialize(spark, piece_counts(stored, tokenizer_path), "counts", "zstd")
+    least = (counts.agg(F.sum("held")).first()[0] or 0) // FREQUENT
+    is_frequent = (F.col("held") > least) & (F.length("piece") <= SHORT)
+    frequent = F.broadcast(counts.where(is_frequent).select("piece", "tokens"))  # fewer than FREQUENT rows of SHORT characters
+    rows = stored.where("piece is not null").select("row", "piece", "n")
+    often = rows.join(frequent, "piece")
+    seldom = rows.join(frequent, "piece", "left_anti").join(counts.where(~is_frequent).select("piece", "tokens"), "piece")
+    sums = often.unionByName(seldom).groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("found"))
     heads = stored.where("head is not null").select("row", "head", "n_bytes", "special").join(sums, "row", "left")
     total = F.col("special") + F.coalesce("found", F.lit(0).cast("long"))
     kept = [f.name for f in df.schema.fields]
