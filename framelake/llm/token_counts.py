@@ -28,7 +28,7 @@ from .tokenization import CACHE_ENTRIES, numbered_units, spread, word_tokenizer
 #: Tokens beyond which a document is over the limit.
 LIMIT = 2048
 #: A pre-token is frequent that holds over one in so many of all frequencies; fewer than these are, of at most so many characters.
-FREQUENT, SHORT = 200_000, 64
+FREQUENT, SHORT = 500_000, 64
 
 
 class _Numbers(dict):
@@ -121,7 +121,7 @@ def frequencies(df: DataFrame, tokenizer_path: str, text_col: str) -> DataFrame:
     def run(batches):
         found = _frequencies(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2_000_000):
                 texts = texts_of(part.column("text"))
                 at, piece, n, special = found.of(texts)
                 heads, none = len(texts), pa.nulls(len(at), pa.int64())
