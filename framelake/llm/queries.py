@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, language_id, line_dedup, quality, simhash, token_counts, token_store
+from . import ann, bpe, chat, decontamination, embedding_dups, importance, language_id, line_dedup, prefix_trie, quality, simhash, token_counts, token_store
 from ._common import read_table, removed_at_exit, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -94,6 +94,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(spark, read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark, read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return importance.resample(spark, docs.select("doc_id", "text"), target.select("text"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -105,4 +118,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
+    "op11_embedding_dups": op11_embedding_dups,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_importance": op13_importance,
 }
