@@ -14,7 +14,8 @@ hold more than a thousandth of all pages (so there are at most a thousand) are j
 
 Null or empty markup has an even text likelihood and no declaration; a null address is a host of its own; repeated rows
 count each time and get equal results; ties go to the first language in alphabetical order; without labelled documents the
-language is null.  Every labelled language is told apart, however rare.  A page of any length is read whole.  Further columns pass
+language is null.  Every labelled language is told apart, however rare.  A page of any length is read whole, in time
+proportional to it; what an open comment, script, style or tag leads in, up to the end, is no text.  Further columns pass
 through unless their names are those of the result; an empty table gives an empty one.
 """
 
@@ -39,7 +40,8 @@ TRAIN_ROWS, LEAST_ROWS, TEXT_WEIGHT, SMOOTH = 2000, 20, 40, 8.0
 #: Buckets of trigrams, as a power of two.
 BITS = 15
 
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
+#: What isn't text; an open comment, script, style or tag reaches to the end of the page, so none is tried twice.
+_DROP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.IGNORECASE | re.DOTALL)
 #: A comment, a script or style with what is in it, or an <html> tag, whose attributes are the second group; none reads a part twice.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b([^>]*)", re.IGNORECASE | re.DOTALL)
 _DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE)
