@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive tokens that leaves some positions out, s
 tokens at these positions differ.  Hashes of the test items and of the training texts are joined; each hit says at which
 offset an item may lie in a text, and there tokens are compared one by one.  An overlap is the stretch of most equal tokens among
 those in which they have a share of ``MIN_SHARE`` or more, without unequal ones at its ends; it is reported from ``MIN_MATCHED``
-equal tokens (or all of a shorter item that a mask fits) on.
+equal tokens on.  An item of 7 to 14 tokens needs the share ``short_share`` of its own, and all but two (by default every one, as far as ``MIN_MATCHED``
+goes); what it takes is proved in the tests: every such overlap holds one of the masks, or the short one, which those items are hashed by as well.
 
 A Bloom filter over the hashes of the items, of bounded size, tells which hashes of a text are worth joining.  Where the
 items are few (a checked bound) each task joins and verifies against a broadcast copy, so nothing is shuffled and
@@ -33,10 +34,14 @@ from ._common import materialize, sliced
 
 #: Fixed masks: 1 for a token that counts, 0 for one that may differ.  One of them fits in every overlap that suffices, tried for all of 13 to 25 tokens.
 MASKS = ("1110111", "11011011", "110101011", "1110010011")
+#: Any 4 tokens in a row: with the masks it fits in every overlap of an item of 7 to 14 tokens with two changed at most, and a share of 0.8.
+SHORT_MASK = "1111"
 #: Fewest tokens of an item that is looked for inside longer texts.
 RUN = 3
 #: Equal tokens that an overlap needs, and their share in it.
 MIN_MATCHED, MIN_SHARE = 13, 0.8
+#: Share of its tokens that an item of 7 to 14 tokens needs where substitutions in it are looked for.
+SHORT_SHARE = 0.8
 #: Tokens of all items up to which they are broadcast, and the most bits of the filter.
 BROADCAST_TOKENS, FILTER_BITS = 2_000_000, 1 << 27
 
@@ -65,14 +70,21 @@ def token_hashes(text: str | None, known: _Tokens) -> np.ndarray:
 _LEAST = min(map(len, MASKS))
 
 
-def shapes_of(sizes: Iterable[int]) -> list[tuple[int, str]]:
-    """Numbered shapes to look for: the masks and, for each length of a shorter item, all of it."""
-    return [*enumerate(MASKS), *((100 + n, "1" * n) for n in sorted({n for n in sizes if 0 < n < _LEAST}))]
+def needed(n: int, short_share: float = 1.0) -> int:
+    """Equal tokens that an overlap with an item of ``n`` tokens needs."""
+    return n if n < _LEAST else min(MIN_MATCHED, max(-(-round(100 * short_share) * n // 100), n - 2))
 
 
-def own_shapes(n: int) -> list[tuple[int, str]]:
+def shapes_of(sizes: Iterable[int], short_share: float = 1.0) -> list[tuple[int, str]]:
+    """Numbered shapes to look for: the masks, the short one if an item calls for it, and, for each length of a shorter item, all of it."""
+    sizes = {int(n) for n in sizes}
+    short = [(len(MASKS), SHORT_MASK)] if any(n >= _LEAST and needed(n, short_share) < min(MIN_MATCHED, n) for n in sizes) else []
+    return [*enumerate(MASKS), *short, *((100 + n, "1" * n) for n in sorted(n for n in sizes if 0 < n < _LEAST))]
+
+
+def own_shapes(n: int, short_share: float = 1.0) -> list[tuple[int, str]]:
     """The shapes of an item of ``n`` tokens."""
-    return shapes_of([n]) if n >= _LEAST else shapes_of([n])[len(MASKS) :]
+    return shapes_of([n], short_share) if n >= _LEAST else shapes_of([n])[len(MASKS) :]
 
 
 def seed_hashes(tokens: np.ndarray, mask: int, shape: str) -> np.ndarray:
@@ -123,11 +135,11 @@ class Items:
     position: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> Items:
+    def of(cls, ids: list[int], texts: list[str | None], short_share: float = 1.0) -> Items:
         known = _Tokens()
         tokens = [token_hashes(t, known) for t in texts]
         starts = np.concatenate(([0], np.cumsum([len(t) for t in tokens], dtype=np.int64)))
-        found = [(h, i) for i, t in enumerate(tokens) for m, shape in own_shapes(len(t)) if len(h := seed_hashes(t, m, shape))]
+        found = [(h, i) for i, t in enumerate(tokens) for m, shape in own_shapes(len(t), short_share) if len(h := seed_hashes(t, m, shape))]
         hashes = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
         item = np.concatenate([np.full(len(h), i) for h, i in found]) if found else np.empty(0, np.int64)
         position = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.empty(0, np.int64)
@@ -138,21 +150,21 @@ class Items:
         return self.tokens[self.starts[i] : self.starts[i + 1]]
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, short_share: float = 1.0) -> tuple[int, int, int, int] | None:
     """(start in doc, start in item, tokens, equal ones) of the best stretch where item[i] lies at doc[i + shift], if it suffices."""
-    a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    a, b, least = max(0, -shift), min(len(item), len(doc) - shift), needed(len(item), short_share)
     if b <= a:
         return None
     same = item[a:b] == doc[a + shift : b + shift]
     at = np.flatnonzero(same)
-    if len(at) < min(MIN_MATCHED, len(item)):
+    if len(at) < least:
         return None
     equal = np.concatenate(([0], np.cumsum(same)))
     sums = equal * 100 - round(MIN_SHARE * 100) * np.arange(len(equal))  # not lower at a stretch's end than at its start if the share suffices
     first = np.searchsorted(-np.minimum.accumulate(sums), -sums)  # the earliest start for each end
     counts = equal - equal[first]
     matched = int(counts.max())
-    if matched < min(MIN_MATCHED, len(item)):
+    if matched < least:
         return None
     ends = equal[counts == matched]
     starts, lengths = at[ends - matched], at[ends - 1] + 1 - at[ends - matched]
@@ -203,26 +215,26 @@ def _rows(ids: list, rows: list[tuple]) -> pa.RecordBatch:
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
 
-def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def overlaps(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_tokens: int = BROADCAST_TOKENS, short_share: float = 1.0) -> DataFrame:
     """A row for each text and item that overlap: where in either, over how many tokens, how many of them equal."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # no fewer than twice the tokens
-    found = _broadcast(spark, docs, items) if size <= 2 * broadcast_tokens else _shuffled(spark, docs, items)
+    found = (_broadcast if size <= 2 * broadcast_tokens else _shuffled)(spark, docs, items, short_share)
     order = F.struct(-F.col("n_matched"), "doc_start", "item_start", "n_tokens")
     best = found.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("doc_start", "item_start", "n_tokens", "n_matched"), order).alias("o"))
     return best.select("doc_id", "item_id", "o.*")
 
 
-def _broadcast(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+def _broadcast(spark: SparkSession, docs: DataFrame, items: DataFrame, short_share: float) -> DataFrame:
     rows = items.orderBy("item_id", "text").toArrow()
-    known = Items.of(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
+    known = Items.of(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), short_share)
     shared = spark.sparkContext.broadcast((known, _local_filter(known.hashes)))
 
     def run(batches):
         known, seen = shared.value
         memo = _Tokens()
-        shapes = shapes_of(np.diff(known.starts).tolist())
+        shapes = shapes_of(np.diff(known.starts).tolist(), short_share)
         for batch in sliced(batches, 1):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -239,34 +251,35 @@ def _broadcast(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFr
                 for i, shift in shifts:
                     if len(known.of_item(i)) < RUN and len(tokens) != len(known.of_item(i)):
                         continue
-                    _best(best, int(known.ids[i]), overlap(tokens, known.of_item(i), shift))
+                    _best(best, int(known.ids[i]), overlap(tokens, known.of_item(i), shift, short_share))
                 out += [(doc_id, i, *hit) for i, hit in best.items()]
             yield _rows(_NAMES, out)
 
     return docs.mapInArrow(run, _OUT)
 
 
-def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
+def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame, short_share: float) -> DataFrame:
     def split(batches):
         memo = _Tokens()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = token_hashes(text, memo)
-                for m, shape in own_shapes(len(t)):
+                for m, shape in own_shapes(len(t), short_share):
                     h = seed_hashes(t, m, shape)
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item_id)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item_id", "position"])
 
     def tokens(batches):
         memo = _Tokens()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([token_hashes(t, memo).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["item_id", "item"])
 
     seeds = materialize(spark, items.mapInArrow(split, "h long, item_id long, position int"), "seeds")
     seen = spark.sparkContext.broadcast(_build_filter(seeds, seeds.count()))
     sizes = items.mapInArrow(tokens, "item_id long, item array<long>").select(F.size("item").alias("n"))
     longest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    shapes = shapes_of([r["n"] for r in sizes.where(F.col("n") < _LEAST).distinct().collect()])  # fewer than the shortest mask is long
+    kinds = sizes.where(F.col("n") < max(_LEAST, MIN_MATCHED + 3)).distinct().collect()  # a few lengths at most
+    shapes = shapes_of([r["n"] for r in kinds], short_share)
 
     def stretches(batches):
         memo = _Tokens()
@@ -295,15 +308,18 @@ def _shuffled(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFra
     def verify(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                hit = overlap(np.array(r["doc"], dtype=np.int64), np.array(r["item"], dtype=np.int64), r["shift"] - r["start"])
-                if hit and (len(r["item"]) >= RUN or r["size"] == len(r["item"])):
-                    out.append((r["doc_id"], r["item_id"], hit[0] + r["start"], *hit[1:]))
+            (docs_, doc_ends), (items_, item_ends) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("doc"), batch.column("item")))
+            rows = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "shift", "start", "size"))
+            for k, (doc_id, item_id, shift, start, size) in enumerate(zip(*rows, strict=True)):
+                item = items_[item_ends[k] : item_ends[k + 1]]
+                hit = overlap(docs_[doc_ends[k] : doc_ends[k + 1]], item, shift - start, short_share)
+                if hit and (len(item) >= RUN or size == len(item)):
+                    out.append((doc_id, item_id, hit[0] + start, *hit[1:]))
             yield _rows(_NAMES, out)
 
     return both.select("doc_id", "item_id", "shift", "start", "size", "doc", "item").mapInArrow(verify, _OUT)
 
 
-def remove(spark: SparkSession, df: DataFrame, items: DataFrame) -> DataFrame:
+def remove(spark: SparkSession, df: DataFrame, items: DataFrame, short_share: float = 1.0) -> DataFrame:
     """``df`` without the documents that overlap an item."""
-    return df.join(overlaps(spark, df, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)
+    return df.join(overlaps(spark, df, items, short_share=short_share).select("doc_id").distinct(), "doc_id", "left_anti").select(*df.columns)

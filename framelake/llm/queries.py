@@ -33,7 +33,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.overlaps(spark, docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontamination.overlaps(spark, docs, read_table(spark, sf_dir, "benchmark").select("item_id", "text"), short_share=decontamination.SHORT_SHARE)
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

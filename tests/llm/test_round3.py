@@ -1,16 +1,18 @@
 """Embedding near-duplicates, the prefix trie and importance resampling against plain versions of their contracts."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from framelake.llm import embedding_dups, importance, prefix_trie
+from framelake.llm import decontamination, embedding_dups, importance, language_id, prefix_trie
 from framelake.llm._order import named, running
 from framelake.llm.queries import op11_embedding_dups, op12_prefix_trie, op13_importance
 
@@ -217,3 +219,92 @@ def test_crc_of_parts(length):
     head, word = rng.randbytes(50), rng.randbytes(length)
     got = importance.append(np.array([zlib.crc32(head)], np.uint32), np.array([zlib.crc32(word)], np.uint32), np.array([length]))
     assert got[0] == zlib.crc32(head + b" " + word)
+
+
+def plain_text(page):
+    """What isn't in comments, scripts, styles or tags, by a scanner that looks at each place once."""
+    out, at, low = [], 0, page.lower()
+    while at < len(page):
+        if page[at] != "<":
+            out.append(page[at])
+            at += 1
+            continue
+        out.append(" ")
+        name = next((x for x in ("script", "style") if low.startswith(x, at + 1) and not re.match(r"\w", page[at + 1 + len(x) : at + 2 + len(x)])), None)
+        if name:
+            end = re.compile(rf"</{name}\s*>").search(low, at)
+            at = end.end() if end else len(page)
+        else:
+            close = "-->" if page.startswith("<!--", at) else ">"
+            end = page.find(close, at + (4 if close == "-->" else 1))
+            at = end + len(close) if end >= 0 else len(page)
+    return "".join(out)
+
+
+def test_broken_markup_in_linear_time():
+    parts = ["<!--", "<script", "<script>", "</script", "</script >", "<", "<p>", "<style>", "<html lang=de", ">", "-->", "--", "word ", "</", "<scripts>", "\n"]
+    rng = random.Random(4)
+    for _ in range(3000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert language_id.visible_text(page) == plain_text(page), page
+    for part in parts:
+        page = "words before " + part * (1_000_000 // len(part))
+        began = time.perf_counter()
+        text = language_id.visible_text(page)
+        language_id.declared_language(page)
+        assert time.perf_counter() - began < 5 and text.startswith("words before "), part
+        small = page[:5000]
+        assert language_id.visible_text(small) == plain_text(small)
+
+
+def test_broken_pages_are_identified(spark):
+    profiles = language_id.learn(["der die und das nicht mit ist ein " * 30, "the and of is with not this that " * 30], ["de", "en"])
+    rows = [(1, "http://a.de/", "der die und das nicht <!-- " * 40_000), (2, "http://b.com/", "the and of <script> is not " * 30_000), (3, None, "<" * 1_000_000)]
+    got = {r.page_id: r.text_lang for r in language_id.identify(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), profiles).collect()}
+    assert got[1] == "de" and got[2] == "en" and len(got) == 3
+
+
+@pytest.mark.parametrize("n", range(7, 15))
+def test_a_mask_fits_every_overlap_with_a_short_item(n):
+    """All ways to change tokens of an item of n such that a stretch suffices: one of its shapes fits inside the stretch."""
+    shapes = [int(m[::-1], 2) << p for _, m in decontamination.own_shapes(n, 0.8) for p in range(n - len(m) + 1)]
+    least, tried = decontamination.needed(n, 0.8), 0
+    assert least == max(math.ceil(0.8 * n), n - 2)
+    for a in range(n):
+        for b in range(a + least, n + 1):
+            for changed in range(b - a - least + 1):
+                for at in itertools.combinations(range(a, b), changed):
+                    if 5 * (b - a - changed) >= 4 * (b - a):
+                        equal = sum(1 << k for k in range(a, b) if k not in at)
+                        assert any(equal & m == m for m in shapes), (a, b, at)
+                        tried += 1
+    assert tried > 5
+
+
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_short_items_with_changes_against_all_alignments(spark, broadcast):
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary, int(n)))) for i, n in enumerate([*range(5, 18)] * 2)]
+    texts = []
+    for d in range(250):
+        words = list(rng.choice(vocabulary, int(rng.integers(0, 60))))
+        said = items[int(rng.integers(len(items)))][1].split()
+        for k in rng.choice(len(said), int(rng.integers(0, 4)), replace=False):
+            said[int(k)] = "zz"
+        at = int(rng.integers(len(words) + 1))
+        texts.append((d, " ".join(words[:at] + said[int(rng.integers(0, 2)) :] + words[at:])))
+    memo, want = decontamination._Tokens(), {}
+    for (d, text), (i, item) in itertools.product(texts, items):
+        a, b = decontamination.token_hashes(text, memo).tolist(), decontamination.token_hashes(item, memo).tolist()
+        least = len(b) if len(b) < 7 else min(13, max(math.ceil(0.8 * len(b)), len(b) - 2))
+        best = 0
+        for shift in range(-len(b), len(a)):
+            same = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
+            if sum(same) >= least:
+                best = max([best, *(m for x in range(len(b)) for y in range(x + least, len(b) + 1) if (m := sum(same[x:y])) >= least and 5 * m >= 4 * (y - x))])
+        if best:
+            want[d, i] = best
+    docs, tests = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontamination.overlaps(spark, docs, tests, broadcast_tokens=broadcast, short_share=0.8).collect()}
+    assert got == want and len(want) > 90 and sum(m < len(items[i][1].split()) for (_, i), m in want.items()) > 30
