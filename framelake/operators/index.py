@@ -68,6 +68,18 @@ def file_positions(offsets: DataFrame, chunks: DataFrame, key: str) -> DataFrame
     return found.select(key, F.col("at").alias("offset"), F.when(inside < F.col("_c.size"), F.col("_c.file_position") + inside).alias("file_position"))
 
 
+def essence_offsets(positions: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Essence offset of file positions; null outside all chunks."""
+    c = F.struct("file_position", "essence_offset", "size")
+    none = lambda n: F.lit(None).cast("long").alias(n)
+    left = positions.select(key, F.col("file_position").alias("at"), F.lit(1).alias("_kind"), none("file_position"), none("essence_offset"), none("size"))
+    right = chunks.where("size > 0").select(key, F.col("file_position").alias("at"), F.lit(0).alias("_kind"), "file_position", "essence_offset", "size")
+    w = Window.partitionBy(key).orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("_c", F.last(F.when(F.col("_kind") == 0, c), ignorenulls=True).over(w)).where("_kind = 1")
+    inside = F.col("at") - F.col("_c.file_position")
+    return found.select(key, F.col("at").alias("file_position"), F.when(inside < F.col("_c.size"), F.col("_c.essence_offset") + inside).alias("offset"))
+
+
 def merge_variable_segments(entries: DataFrame, key: str) -> DataFrame:
     """Entries of overlapping segments (load_order): the one loaded last wins at each position."""
     return entries.groupBy(key, "position").agg(F.max_by(F.struct("offset", "load_order"), "load_order").alias("_e")).select(key, "position", "_e.offset", "_e.load_order")
