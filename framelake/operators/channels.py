@@ -9,8 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+#: Channels of a map that is broadcast, at most.
+MOST = 4096
+
 
 
 def _so_far(key: str):
@@ -107,6 +112,26 @@ def definition_frame(spark: SparkSession, text: str, inputs: int) -> DataFrame:
     return spark.createDataFrame(definition_map(text, inputs)[0], "out_track int, out_channel int, input int")
 
 
+def definition_rows(df: DataFrame, keys: Sequence[str], definition: str, inputs: str) -> DataFrame:
+    """Outputs (keys, out_track, out_channel, input) of definitions that stand in a column, for as many inputs as column ``inputs`` says; a null one gives no rows."""
+    schema = T.StructType([*(df.schema[k] for k in keys), *T._parse_datatype_string("out_track int, out_channel int, input int").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for *key, text, n in zip(*(batch.column(c).to_pylist() for c in (*keys, definition, inputs)), strict=True):
+                if text is not None:
+                    rows += [(*key, *r) for r in definition_map(text, n or 0)[0]]
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    return df.select(*keys, definition, inputs).mapInArrow(run, schema)
+
+
 def compatible(mapped: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
     """Outputs and whether all their channels have one bit depth."""
     bits = tracks.select(key, "track", "bits")
@@ -129,8 +154,10 @@ def apply_map(samples: DataFrame, mapped: DataFrame, keys: Sequence[str]) -> Dat
 
     Silence, and what an input lacks in length, are zeros.
     """
+    if mapped.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"a map of over {MOST} channels")
     length = samples.groupBy(*keys).agg(F.max(F.size("samples")).alias("_n"))
-    grid = length.crossJoin(F.broadcast(mapped))  # a handful of channels for each row
+    grid = length.crossJoin(F.broadcast(mapped))  # MOST channels for each row
     joined = grid.join(samples.select(*keys, "input", "samples"), [*keys, "input"], "left")
     zero = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda _: F.lit(0.0))
     have = F.coalesce("samples", F.slice(zero, 1, 0))

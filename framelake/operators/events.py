@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 EVENT_LETTERS = {"d": "digibeta_dropout", "p": "pse_failure", "t": "timecode_break", "v": "vtr_error"}
 #: What stands for codes and checksums that are missing.
 NO_TIMECODE, NO_CRC = "__:__:__:__", "????"
+#: Columns that a dump may widen to.
+MOST = 1024
 
 
 def event_mask(letters: str) -> list[str]:
@@ -35,8 +37,11 @@ def timecode_dump(frames: DataFrame, slots: Sequence[str]) -> DataFrame:
 
 
 def crc_dump(rows: DataFrame, keys: Sequence[str], track: str, crc: str, tracks: Sequence[int] | None = None) -> DataFrame:
-    """A row for each frame with a column for each track: those given, or all that occur (a clip has few), in order."""
-    tracks = sorted(r[0] for r in rows.where(F.col(track).isNotNull()).select(track).distinct().collect()) if tracks is None else tracks
+    """A row for each frame with a column for each track: those given, or all that occur (``MOST`` at most), in order."""
+    if tracks is None:
+        tracks = sorted(r[0] for r in rows.where(F.col(track).isNotNull()).select(track).distinct().limit(MOST + 1).collect())
+        if len(tracks) > MOST:
+            raise ValueError(f"more than {MOST} tracks make no table; name those wanted")
     wide = rows.groupBy(*keys).pivot(track, list(tracks)).agg(F.max(crc))
     return wide.select(*keys, *(F.coalesce(F.col(str(t)), F.lit(NO_CRC)).alias(f"track_{t}") for t in tracks))
 

@@ -16,6 +16,15 @@ from .frame_queries import _FRAMES, frames, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: CRC-32 in SQL, byte by byte over the table for one byte.
+CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"""
+
+
+def crc_hex(data: str) -> str:
+    """Eight hexadecimal digits of the CRC-32 of ``data``, a list of BIGINTs from 0 to 255."""
+    return f"printf('%08x', xor(list_reduce({data}, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295))"
+
+
 
 
 def query(sql: str | None = None):
@@ -135,9 +144,16 @@ def m3_single(spark, sf_dir):
     return C.single_map(audio_tracks(spark, sf_dir), "clip")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 5), (2, 0, NULL), (3, 0, NULL), (4, 0, 4), (4, 1, 3), (5, 0, 6), (5, 1, 7)) t(out_track, out_channel, input)")
+@query("""WITH o AS (SELECT o_orderkey AS clip, o_orderkey % 4 AS a, 5 + o_orderkey % 3 AS m, 8 + o_orderkey % 5 AS inputs FROM orders),
+g AS (SELECT clip, 0 AS out_track, k AS out_channel, a + k AS input FROM o, (SELECT unnest([0, 1]) AS k) UNION ALL SELECT clip, 1, 0, m FROM o UNION ALL SELECT clip, t, 0, NULL FROM o, (SELECT unnest([2, 3]) AS t)
+      UNION ALL SELECT clip, 4, row_number() OVER (PARTITION BY clip ORDER BY i) - 1, i FROM o, (SELECT unnest(range(12)) AS i) WHERE i < inputs AND i NOT IN (a, a + 1, m))
+SELECT clip, CAST(out_track AS INTEGER) AS out_track, CAST(out_channel AS INTEGER) AS out_channel, CAST(input AS INTEGER) AS input FROM g""")
 def m4_definition(spark, sf_dir):
-    return C.definition_frame(spark, "0-2; m5,s2; 4,3,9; x", 8)
+    """Definitions that stand in a column, one for each order: a range, a mono group with silence, and the inputs left."""
+    k = F.col("o_orderkey")
+    text = F.concat(k % 4, F.lit("-"), k % 4 + 1, F.lit("; m"), k % 3 + 5, F.lit(",s2; x"))
+    o = table(spark, sf_dir, "orders").select(k.alias("clip"), text.alias("definition"), (k % 5 + 8).cast("int").alias("inputs"))
+    return C.definition_rows(o, ["clip"], "definition", "inputs")
 
 
 @query(f"WITH {_AUDIO}, q AS (SELECT clip, input // 2 AS pair, track, channel FROM p WHERE input % 2 = 0 UNION ALL SELECT clip, NULL, track, 0 FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY track, channel) - 1 AS out_track FROM q), "
@@ -168,6 +184,14 @@ def m6_apply(spark, sf_dir):
     return out.select("vec_id", F.col("out_track").cast("long").alias("out_track"), F.size("samples").cast("long").alias("n"), F.get("samples", F.lit(0)).alias("first_sample"), F.element_at("samples", -1).alias("last_sample"))
 
 
+@query("""SELECT vec_id, t AS out_track, CASE t WHEN 0 THEN flatten([[CAST(embedding[i * 4 + 4] AS DOUBLE), CAST(embedding[i * 4 + 1] AS DOUBLE)] FOR i IN range(len(embedding) // 4)]) ELSE [0.0::DOUBLE FOR i IN range(len(embedding) // 4)] END AS samples
+FROM embeddings, (SELECT unnest(range(2)) AS t)""")
+def m6_samples(spark, sf_dir):
+    """Every sample of the outputs, in order."""
+    out = C.apply_map(samples(spark, sf_dir), C.definition_frame(spark, "3,0; s1", 4), ["vec_id"])
+    return out.select("vec_id", F.col("out_track").cast("long").alias("out_track"), "samples")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'red' ELSE 'green' END AS color, event_id - 25 AS position FROM events")
 def m9_locators(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, "_mark").otherwise("mark").alias("mark"), F.col("event_id").alias("position"))
@@ -182,7 +206,7 @@ def a3_digests(spark, sf_dir):
     return G.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "md5", "sha1")
 
 
-@query()
+@query(f"WITH {CRC_TABLE} SELECT doc_id, " + crc_hex("CASE WHEN text <> '' THEN [('0x' || p)::BIGINT FOR p IN regexp_extract_all(hex(encode(text)), '..')] WHEN text IS NOT NULL THEN []::BIGINT[] END") + " AS crc32 FROM documents, crc_table")
 def a3_crc32(spark, sf_dir):
     return G.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "crc32")
 
@@ -193,6 +217,13 @@ def a1_track_digests(spark, sf_dir):
     return G.track_digests(c, ["conv_id"]).drop("crc32")
 
 
+@query(f"WITH {CRC_TABLE}, c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id) SELECT conv_id, " + crc_hex("CASE WHEN text <> '' THEN [('0x' || p)::BIGINT FOR p IN regexp_extract_all(hex(encode(text)), '..')] ELSE []::BIGINT[] END") + " AS crc32 FROM c, crc_table")
+def a1_track_crc(spark, sf_dir):
+    """The CRC that runs on from frame to frame."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("position"), F.col("text").alias("payload"))
+    return G.track_digests(c, ["conv_id"]).select("conv_id", "crc32")
+
+
 def stored(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 97).alias("clip"), F.col("turn").alias("track"), F.col("text").alias("payload"), "conv_id")
     own = F.crc32(F.col("payload").cast("binary"))
@@ -348,6 +379,16 @@ def j2_chain(spark, sf_dir):
     return K.resolve_chain(spark, o, "tape").select("start", "target", "hops")
 
 
+@query("""WITH RECURSIVE h AS (SELECT o_orderkey AS start, o_orderkey AS id, o_orderkey // 3 AS ref, CAST(o_orderkey % 10 AS BIGINT) AS off, 0 AS hops FROM orders
+UNION ALL SELECT start, o_orderkey, o_orderkey // 3, CASE WHEN o_orderkey % 2 = id % 2 THEN off WHEN o_orderkey % 2 = 0 THEN off // 2 + off % 2 ELSE off * 2 END + o_orderkey % 4, hops + 1 FROM h JOIN orders ON o_orderkey = ref WHERE ref <> id AND NOT (hops > 0 AND id < 30))
+SELECT start, id AS target, hops, off AS "offset" FROM h WHERE hops > 0 AND id < 30""")
+def j2_offsets(spark, sf_dir):
+    """Chains with the offset that each hop converts and moves, however long they are."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), F.expr("o_orderkey div 3").alias("ref"), F.when(k < 30, "tape").otherwise("file").alias("kind"), F.when(k % 2 == 0, 25).otherwise(50).cast("long").alias("num"), F.lit(1).cast("long").alias("den"), (k % 4).alias("origin"), (k % 10).alias("offset"))
+    return K.resolve_chain(spark, o, "tape").select("start", "target", "hops", "offset")
+
+
 @query("SELECT o_custkey AS uid, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1")
 def j14_conflicts(spark, sf_dir):
     return K.kind_conflicts(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderstatus").alias("kind")), "uid", "kind")

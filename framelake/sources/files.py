@@ -1,11 +1,12 @@
 """Files as rows and rows as files.
 
 ``scan`` turns every file under a path into rows by a parser of bytes; Spark lists and reads the files, so any file
-system it knows will do, and prunes columns and paths.  ``MediaFiles`` is a sink that writes one file per row.
+system it knows will do, and reads no file whose path a filter rules out; a parser makes all its columns.  ``MediaFiles`` is a sink that writes one file per row.
 """
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,7 +32,7 @@ def scan(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[dict]
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     rows = [{"path": path, "status": "OK", **r} for r in parse(content.as_py())]
-                except (ValueError, IndexError) as e:
+                except (ValueError, LookupError, ArithmeticError, struct.error) as e:  # what parsers of bytes raise on broken ones
                     if mode == "FAILFAST":
                         raise
                     rows = [{"path": path, "status": str(e)}]
