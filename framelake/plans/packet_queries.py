@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as B
+from ..operators import audio_metadata as A
 from ..operators import channels as C
 from ..operators import events as V
 from ..operators import integrity as G
@@ -495,3 +496,45 @@ def k8_clip_report(spark, sf_dir):
 @query("SELECT doc_id, 'lang   : ' || lang || chr(10) || 'source : ' || source AS report FROM documents")
 def k7_sections(spark, sf_dir):
     return R.sections(table(spark, sf_dir, "documents"), ["doc_id"], ["lang", "source"])
+
+
+# --- audio metadata ----------------------------------------------------------------------------------------------------
+
+#: Fields of a second sub-frame (sync, Dolby E essential, Dolby Digital essential) by segment, place and width.
+_ESSENTIAL = [(segment, id_, k, name, width) for segment, id_ in ((0, 0), (1, 2), (2, 4)) for k, (name, width) in enumerate(A.FIELDS[id_])]
+_VALUE = "CASE field WHEN 'program_config' THEN event_id % 24 ELSE (event_id * 7 + ord * 13 + segment * 5) % (1 << width) END"
+_SERIAL = f"""l AS (SELECT unnest([{", ".join(f"{{'segment': {s}, 'id': {i}, 'ord': {k}, 'field': '{n}', 'width': {w}}}" for s, i, k, n, w in _ESSENTIAL)}]) AS x),
+s AS (SELECT event_id, x.segment AS segment, x.id AS id, x.ord AS ord, x.field AS field, x.width AS width, {_VALUE.replace("field", "x.field").replace("ord *", "x.ord *").replace("segment *", "x.segment *").replace("<< width", "<< x.width")} AS value FROM events, l)"""
+
+
+def serial_fields(spark, sf_dir):
+    layout = F.array(*(F.struct(F.lit(s).alias("segment"), F.lit(i).alias("id"), F.lit(k).alias("ord"), F.lit(n).alias("field"), F.lit(w).alias("width")) for s, i, k, n, w in _ESSENTIAL))
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit(2).alias("subframe"), F.inline(layout))
+    value = F.when(F.col("field") == "program_config", F.col("event_id") % 24).otherwise((F.col("event_id") * 7 + F.col("ord") * 13 + F.col("segment") * 5) % F.pow(F.lit(2), F.col("width")).cast("long"))
+    return rows.withColumn("value", value)
+
+
+@query(f"""WITH {_SERIAL}, b AS (SELECT event_id, segment, id, string_agg(lpad(bin(value), CAST(width AS INTEGER), '0'), '' ORDER BY ord) AS bits FROM s GROUP BY ALL),
+h AS (SELECT event_id, segment, id, [('0b' || x)::INTEGER FOR x IN regexp_extract_all(rpad(bits, CAST((len(bits) + 7) // 8 * 8 AS INTEGER), '0'), '.{{8}}')] AS bytes FROM b),
+w AS (SELECT event_id, segment, list_concat(CASE segment WHEN 0 THEN []::INTEGER[] ELSE [id, len(bytes)] END, bytes, CASE segment WHEN 0 THEN []::INTEGER[] ELSE [(256 - (len(bytes) + list_sum(bytes)) % 256) % 256] END) AS bytes FROM h),
+p AS (SELECT event_id, list_concat([63, 243], flatten(list(bytes ORDER BY segment)), [0, 10, 10]) AS bytes FROM w GROUP BY event_id)
+SELECT event_id, list_aggregate([printf('%02X', x) FOR x IN list_concat([69, 4, len(bytes)], bytes)], 'string_agg', '') AS packet FROM p""")
+def b6_packets(spark, sf_dir):
+    """Packets of second sub-frames put together from rows of fields."""
+    return A.packets(serial_fields(spark, sf_dir), ["event_id"], 4).select("event_id", F.hex("second").alias("packet"))
+
+
+@query(f"WITH {_SERIAL} SELECT event_id, segment, ord, field, CAST(CASE WHEN field = 'pitch_shift_code' AND value >= 2048 THEN value - 4096 ELSE value END AS BIGINT) AS value, CASE WHEN segment > 0 THEN true END AS intact FROM s")
+def b6_fields(spark, sf_dir):
+    """The fields of these packets as they are read again."""
+    p = A.packets(serial_fields(spark, sf_dir), ["event_id"], 4)
+    found = A.segments(p, ["event_id"])
+    rows = A.fields(found, ["event_id"]).join(found.select("event_id", "segment", "intact"), ["event_id", "segment"])
+    return rows.select("event_id", "segment", "ord", "field", "value", "intact")
+
+
+@query(f"""WITH {_SERIAL}, c AS (SELECT event_id, max(value) FILTER (field = 'compre') AS compre, max(value) FILTER (field = 'dynrnge') AS dynrnge FROM s WHERE segment = 2 GROUP BY event_id)
+SELECT event_id, segment, field, CAST(value AS BIGINT) AS value FROM s JOIN c USING (event_id) WHERE field = 'frame_rate_code' AND value NOT BETWEEN 1 AND 5 OR field = 'program_id' AND value > 7 OR field = 'datarate' AND value > 18 AND value <> 31
+OR field = 'acmod' AND value = 0 OR field = 'compr2' AND compre = 0 AND value > 5 OR field LIKE 'dynrng_' AND field <> 'dynrnge' AND dynrnge = 0 AND value > 5""")
+def v9_violations(spark, sf_dir):
+    return A.violations(spark, serial_fields(spark, sf_dir), ["event_id"]).select("event_id", "segment", "field", "value")
