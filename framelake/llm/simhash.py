@@ -7,6 +7,8 @@ two fingerprints within that distance then are within a block's radius in at lea
 would add up to more).  That block is the cell of a grid: every fingerprint stands in its own cell and, for radius 1,
 also probes the cells one step up in one coordinate.  In each cell true Hamming distances are computed.
 
+A cell of more than ``CELL`` rows is cut into blocks, and each pair of blocks is compared by a task of its own.
+
 Equal fingerprints are one class throughout, and a cell sends only edges that connect classes not yet connected in it, so groups
 of copies cost neither pairs nor memory; what a cell compares falls away as soon as it belongs to a component.
 
@@ -34,6 +36,8 @@ SHINGLE, SEED, DISTANCE, SEGMENT = 4, 42, 4, 2
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD = (1 << 64) - 1
+#: Rows of a cell that one task compares with each other.
+CELL = 20_000
 #: Pairs compared in one array operation.
 _TILE = 2_000_000
 
@@ -193,7 +197,12 @@ def links(nodes: DataFrame, distance: int = DISTANCE, segment: int = SEGMENT) ->
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(probe.astype(np.int8)), pa.array(fp[at : at + 10_000][row]), pa.array(node[at : at + 10_000][row])], names=["cell", "probe", "fp", "node"])
 
     placed = nodes.select("fp", "node").mapInArrow(place, "cell long, probe tinyint, fp long, node long")
-    sorted_ = placed.repartition("cell").sortWithinPartitions("cell", "probe", "fp")
+    large = placed.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(F.col("count") / CELL).cast("int").alias("blocks"))
+    large = materialize(nodes.sparkSession, large, "cells")
+    dealt = placed.join(large, "cell", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    group = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(block, "other"), F.greatest(block, "other")))
+    sorted_ = dealt.select(group.alias("cell"), "probe", "fp", "node").repartition("cell").sortWithinPartitions("cell", "probe", "fp")
     return sorted_.mapInArrow(functools.partial(_edges, distance=distance), "a long, b long")
 
 
@@ -212,5 +221,6 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
 def keep_one(spark: SparkSession, df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``df`` with one document of each group: that with the smallest doc_id, once; rows without doc_id stay."""
     kept = near_duplicates(spark, df, shingle=shingle, distance=distance).where("doc_id = component_id").select("doc_id").distinct()
-    one = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*df.columns)
+    one = df.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")  # of repeated ids the smallest row, written as text
     return one.unionByName(df.where("doc_id is null")).select(*df.columns)

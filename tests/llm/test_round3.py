@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from framelake.llm import decontamination, embedding_dups, importance, language_id, prefix_trie
+from framelake.llm import decontamination, embedding_dups, importance, language_id, prefix_trie, simhash
 from framelake.llm._order import named, running
 from framelake.llm.queries import op11_embedding_dups, op12_prefix_trie, op13_importance
 
@@ -308,3 +308,26 @@ def test_short_items_with_changes_against_all_alignments(spark, broadcast):
     docs, tests = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_matched for r in decontamination.overlaps(spark, docs, tests, broadcast_tokens=broadcast, short_share=0.8).collect()}
     assert got == want and len(want) > 90 and sum(m < len(items[i][1].split()) for (_, i), m in want.items()) > 30
+
+
+@pytest.mark.parametrize("cell", [3, 40])
+def test_cells_in_blocks(spark, monkeypatch, cell):
+    """Fingerprints around a few centres, so that cells are far above what one task compares."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(6)
+    prints = {rng.getrandbits(64) for _ in range(300)}
+    for centre in list(prints)[:4]:
+        for _ in range(60):
+            prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))))
+    prints = sorted(prints)
+    want = closure(range(len(prints)), [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    df = spark.createDataFrame([(n, p - (1 << 64) if p >> 63 else p) for n, p in enumerate(prints)], "node long, fp long")
+    edges = [(r.a, r.b) for r in simhash.links(df).collect()]
+    assert closure(range(len(prints)), edges) == want and len(set(want.values())) < len(prints) - 150
+
+
+def test_one_of_repeated_rows_is_kept_whatever_their_order(spark):
+    rows = [(1, "b", 5), (1, "b", 4), (2, "c d e f g", 1), (None, "b", 1)]
+    for some in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark, spark.createDataFrame(some, "doc_id long, text string, n long")).collect()
+        assert sorted(map(tuple, kept), key=str) == [(1, "b", 4), (2, "c d e f g", 1), (None, "b", 1)]
