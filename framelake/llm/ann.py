@@ -3,7 +3,9 @@
 Vectors are scaled to length one, where order by distance is order by cosine, and cut into halves.  Each half has its
 own k-means codebook, fitted on a bounded sample; a pair of codewords is a cell, and every vector is indexed in its cell.
 A query walks the pairs by the sum of its squared distances to the two codewords, with a heap, until the cells seen hold
-the share ``GATHER`` of all vectors.  These are scored exactly, in double precision, on the original vectors.
+a share of all vectors.  That share is measured: for ``TESTS`` vectors the true neighbours are found by comparing with all, and the share is the one at which
+``RECALL`` of them would have been seen, so data with structure take little and data without much.  Codewords grow with the root of the number
+of vectors, so that a cell keeps about ``CELL`` of them, as far as the sample can tell so many apart.  These are scored exactly, in double precision, on the original vectors.
 
 Cells larger than ``BLOCK`` are dealt over several blocks, so copies of one vector don't meet in one task.  Blocks stream
 their queries past their vectors; a task keeps each query's best few.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from pyspark.sql.window import Window
 
 from ._common import materialize
 
-#: Neighbours, codewords for each half, vectors that these are fitted on at most, and share of all vectors to gather.
-TOP, WORDS, SAMPLE, GATHER = 5, 32, 20_000, 0.6
+#: Neighbours, least codewords for each half, and vectors that these are fitted on at most.
+TOP, WORDS, SAMPLE = 5, 32, 20_000
+#: Vectors to a cell, about; vectors whose true neighbours are found to measure what to gather, and the share of these neighbours to reach.
+CELL, TESTS, RECALL = 50, 256, 0.96
 #: Vectors in a block, and queries whose best a task holds before it hands them on.
 BLOCK, HELD = 4096, 100_000
 
@@ -105,6 +110,53 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
+def words_for(n: int, sample: int = SAMPLE) -> int:
+    """Codewords of each half for ``n`` vectors; each takes 20 vectors of the sample at least."""
+    return max(WORDS, min(math.isqrt(n // CELL), sample // 20))
+
+
+def gather_for(placed: DataFrame, books, held: dict[int, int], top: int = TOP, tests: int = TESTS, recall: float = RECALL) -> float:
+    """The share of all vectors after which ``recall`` of the true neighbours of ``tests`` vectors are seen.
+
+    ``placed`` has vec_id, cell and vec; each task keeps the best ``top`` for each test vector, so ``tests`` times ``top`` rows reach the driver.
+    """
+    chosen = placed.orderBy(F.xxhash64("vec_id", F.lit("tests")), "vec_id").limit(tests).toArrow().combine_chunks()
+    ids, x = chosen.column("vec_id").to_numpy(), unit(matrix(chosen.column("vec").combine_chunks()))
+
+    def compare(batches):
+        best: list[list[tuple[float, int, int]]] = [[] for _ in ids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, cell = (batch.column(c).to_numpy() for c in ("vec_id", "cell"))
+            near = x @ unit(matrix(batch.column("vec"))).T
+            near[ids[:, None] == own[None, :]] = -2
+            some = np.argsort(-near, axis=1, kind="stable")[:, :top]
+            for q, places in enumerate(some):
+                best[q] = heapq.nsmallest(top, [*best[q], *((-float(near[q, k]), int(own[k]), int(cell[k])) for k in places if near[q, k] > -2)])
+        rows = [(q, -s, v, c) for q, found in enumerate(best) for s, v, c in found]
+        q, score, vec, cell = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(score, pa.float64()), pa.array(vec, pa.int64()), pa.array(cell, pa.int32())], names=["q", "score", "vec_id", "cell"])
+
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = placed.select("vec_id", "cell", "vec").mapInArrow(compare, "q int, score double, vec_id long, cell int")
+    wanted: dict[int, list[int]] = {}
+    for r in found.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= top).select("q", "cell").collect():
+        wanted.setdefault(r["q"], []).append(r["cell"])
+    half, total, shares = books[0].shape[1], sum(held.values()), []
+    left, right = _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
+    for q, cells in wanted.items():
+        seen, left_over = 0, list(cells)
+        for a, b in walk(left[q], right[q]):
+            cell = a * len(books[1]) + b
+            seen += held.get(cell, 0)
+            shares += [seen / total] * left_over.count(cell)
+            left_over = [c for c in left_over if c != cell]
+            if not left_over:
+                break
+    return float(np.quantile(shares, recall, method="higher")) if shares else 1.0
+
+
 def _rank(batches, top: int):
     """The best of each query from rows (cell, sub, kind, vec_id, vec) in this order, vectors (kind 0) before queries (1)."""
     best: dict[int, list[tuple[float, int]]] = {}
@@ -154,13 +206,17 @@ def _rank(batches, top: int):
     yield out()
 
 
-def nearest(spark: SparkSession, df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, words: int = WORDS, sample: int = SAMPLE, gather: float = GATHER) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``top`` nearest found for every id for which ``is_query`` (a Column of vec_id) holds."""
+def nearest(spark: SparkSession, df: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, words: int | None = None, sample: int = SAMPLE, gather: float | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the ``top`` nearest found for every id for which ``is_query`` (a Column of vec_id) holds.
+
+    ``words`` and ``gather`` follow from the vectors unless they are given.
+    """
     vectors = materialize(spark, usable(df, id_col, vec_col), "vectors")
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not vectors.limit(1).count():
+    n = vectors.count()
+    if not n:
         return none
-    books = codebooks(vectors, words, sample)
+    books = codebooks(vectors, words or words_for(n, sample), sample)
     shared = spark.sparkContext.broadcast(books)  # words of either half
 
     def place(batches):
@@ -172,6 +228,7 @@ def nearest(spark: SparkSession, df: DataFrame, is_query, id_col: str = "vec_id"
     placed = materialize(spark, vectors.mapInArrow(place, "vec_id long, cell int, vec array<double>"), "cells")
     held = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most words squared
     subs = {c: -(-n // BLOCK) for c, n in held.items()}
+    gather = gather_for(placed, books, held, top) if gather is None else gather
     need, wide = max(top + 1, gather * sum(held.values())), len(books[1])
 
     def visit(batches):

@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from framelake.llm import decontamination, embedding_dups, importance, language_id, prefix_trie, simhash
+from framelake.llm import ann, decontamination, embedding_dups, importance, language_id, prefix_trie, simhash
 from framelake.llm._order import named, running
 from framelake.llm.queries import op11_embedding_dups, op12_prefix_trie, op13_importance
 
@@ -331,3 +331,31 @@ def test_one_of_repeated_rows_is_kept_whatever_their_order(spark):
     for some in (rows, rows[::-1]):
         kept = simhash.keep_one(spark, spark.createDataFrame(some, "doc_id long, text string, n long")).collect()
         assert sorted(map(tuple, kept), key=str) == [(1, "b", 4), (2, "c d e f g", 1), (None, "b", 1)]
+
+
+def test_what_to_gather_follows_from_the_vectors(spark):
+    """Clustered vectors need a small share, vectors without structure a large one; both reach the recall."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((60, 16)) * 4
+    kinds = {"clusters": centres[rng.integers(60, size=3000)] + rng.standard_normal((3000, 16)) * 0.3, "noise": rng.standard_normal((3000, 16))}
+    took = {}
+    for name, x in kinds.items():
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        placed = {}
+
+        def held(placed_, books, cells, *a, f=ann.gather_for, name=name, placed=placed):
+            placed[name] = f(placed_, books, cells, *a)
+            return placed[name]
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ann, "gather_for", held)
+            rows = ann.nearest(spark, df, "vec_id % 10 = 0").collect()
+        took[name] = placed[name]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit @ unit.T
+        np.fill_diagonal(near, -2)
+        true = {(q, int(v)) for q in range(0, 3000, 10) for v in np.argsort(-near[q])[:5]}
+        got = {(r.query_id, r.vec_id) for r in rows}
+        assert len(got) == len(true) and len(got & true) >= 0.92 * len(true)
+    assert 2 * took["clusters"] < took["noise"] <= 1
+    assert ann.words_for(10) == 32 and ann.words_for(10**6) == 141 and ann.words_for(10**12) == 1000
