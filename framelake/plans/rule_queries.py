@@ -11,6 +11,7 @@ from ..operators import events as V
 from ..operators import index as X
 from ..operators import integrity as G
 from ..operators import pictures as Q
+from ..operators import shims as M
 from ..operators import timeline as S
 from ..operators import tracks as K
 from ..sources import wav
@@ -221,3 +222,74 @@ def b19_addresses(spark, sf_dir):
     name = F.concat(F.lit("/a/f "), n, F.lit("+.mxf"))
     address = F.when(F.col("event_id") % 6 == 4, F.concat(F.lit("http://h/a/"), n)).otherwise(B.file_uri(name))
     return events(spark, sf_dir).select("event_id", B.absolute_uri(reference, base).alias("absolute"), B.relative_uri(target, base).alias("relative"), B.uri_path(address).alias("path"), F.size(B.uri_segments(address)).alias("segments"))
+
+
+# --- delivery rules ----------------------------------------------------------------------------------------------------
+
+_HEADERS = """h AS (SELECT user_id AS stream, event_id AS position, ['high_hd_2014', 'cnn_hd_2012', 'nrk_hd_2012', 'jvc_hd_35_vbr_2012', 'jvc_hd_25_cbr_2012'][user_id % 5 + 1] AS shim,
+  event_id % 2 = 0 AS seq, event_id % 3 > 0 AS ext, event_id % 5 = 0 AS dis, event_id % 7 > 2 AS cod, event_id % 4 = 1 AS gop, event_id % 11 > 0 AS vbv, event_id % 3 = 0 AS low, event_id % 13 < 3 AS prog,
+  [1920, 1440, 1280, 720][event_id % 9 % 4 + 1] AS w, [1080, 1080, 720][event_id % 8 % 3 + 1] AS ht, [130, 68, 70][event_id % 10 % 3 + 1] AS prof, [422, 420, 0][event_id % 6 % 3 + 1] AS chroma,
+  CASE WHEN event_id % 15 > 0 THEN event_id % 10 // 5 + 1 END AS prim, 24500000 + event_id % 60 * 500000 AS bits, event_id % 17 < 3 AS narrow, event_id % 19 > 9 AS tff, 10 + event_id % 12 AS longest, event_id % 23 > 4 AS closed, event_id % 29 > 4 AS same FROM events),
+r AS (SELECT h.*, CASE WHEN shim IN ('high_hd_2014', 'nrk_hd_2012') THEN 50000000 WHEN shim = 'jvc_hd_25_cbr_2012' THEN 25000000 ELSE 35000000 END AS rate,
+  CASE WHEN shim IN ('high_hd_2014', 'nrk_hd_2012') THEN 1000000 ELSE 0 END AS delta, shim NOT IN ('cnn_hd_2012', 'jvc_hd_35_vbr_2012') AS steady, CASE WHEN shim IN ('high_hd_2014', 'nrk_hd_2012') THEN 1920 ELSE 1440 END AS rw,
+  CASE WHEN shim IN ('high_hd_2014', 'nrk_hd_2012') THEN 422 ELSE 420 END AS rc, CASE WHEN w = 1440 THEN CASE WHEN prof IN (68, 70) THEN 420 END WHEN w = 1920 OR (w = 1280 AND prog) THEN CASE prof WHEN 130 THEN 422 WHEN 68 THEN 420 END END AS pc FROM h)"""
+_CHECKS = [
+    ("constant bit rate", 1, "steady AND NOT vbv", "NULL", "'1'"), ("aspect ratio", 0, "seq AND narrow", "'4/3'", "'16/9'"), ("bit rate", 1, "seq AND abs(bits - rate) > delta", "bits", "rate"),
+    ("resolution", 0, "seq AND (w <> rw OR ht <> 1080)", "w || 'x' || ht", "rw || 'x1080'"), ("low delay", 2, "seq AND low", "1", "0"), ("vertical size", 0, "ext AND NOT prog AND ht <> 1080", "ht", "1080"),
+    ("horizontal size", 0, "ext AND (w = 720 OR w = 1280 AND NOT prog)", "w", "CASE WHEN prog THEN '1920, 1440 or 1280' ELSE '1920 or 1440' END"),
+    ("profile and level", 0, "ext AND NOT (w = 720 OR w = 1280 AND NOT prog) AND pc IS NULL", "prof", "NULL"), ("resolution of the extension", 0, "ext AND (w <> rw OR ht <> 1080)", "w || 'x' || ht", "rw || 'x1080'"),
+    ("chroma of the profile", 0, "ext AND coalesce(pc, 420) <> rc", "coalesce(pc, 420)", "rc"), ("chroma format", 0, "ext AND chroma <> 0 AND chroma <> rc", "chroma", "rc"), ("color primaries", 2, "dis AND prim <> 1", "prim", "1"),
+    ("display size", 2, "dis AND (w <> rw OR ht <> 1080)", "w || 'x' || ht", "rw || 'x1080'"), ("top field first", 0, "cod AND ext AND NOT prog AND NOT tff", "0", "1"), ("longest GOP", 0, "gop AND longest > 16", "longest", "16"),
+    ("closed GOPs", 0, "gop AND NOT closed", "0", "1"), ("identical GOPs", 0, "gop AND NOT same", "0", "1"),
+]
+
+
+@query(f"WITH {_HEADERS}, v AS (" + " UNION ALL ".join(f"SELECT stream, position, '{n}' AS check_, {s} AS s, CAST({found} AS VARCHAR) AS found, CAST({wanted} AS VARCHAR) AS wanted FROM r WHERE {bad}" for n, s, bad, found, wanted in _CHECKS) + """),
+n AS (SELECT *, row_number() OVER (PARTITION BY stream, check_ ORDER BY position) AS nth FROM v)
+SELECT stream, position, check_ AS "check", CASE WHEN s = 0 OR (s = 2 AND nth > 3) THEN 'error' ELSE 'warning' END AS severity, found, wanted, s = 0 OR nth <= 3 AS reported FROM n""")
+def v5_shim_checks(spark, sf_dir):
+    """Headers of all shims; the first three of each warning are reported."""
+    e = F.col("event_id")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    whole = lambda n: F.when(n, F.struct(F.lit(4).alias("num"), F.lit(3).alias("den"))).otherwise(F.struct(F.lit(16).alias("num"), F.lit(9).alias("den")))
+    width, height = pick((1920, 1440, 1280, 720), e % 9 % 4), pick((1080, 1080, 720), e % 8 % 3)
+    h = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("stream"), e.alias("position"), pick(list(M.SHIMS), F.col("user_id") % 5).alias("shim"), (e % 2 == 0).alias("sequence"), (e % 3 > 0).alias("extension"), (e % 5 == 0).alias("display"),
+        (e % 7 > 2).alias("coding"), (e % 4 == 1).alias("gop"), F.when(e % 11 > 0, 9000).alias("vbv_delay"), F.lit(True).alias("single_sequence"), whole(e % 17 < 3).alias("aspect"),
+        F.struct(F.lit(25).alias("num"), F.lit(1).alias("den")).alias("rate"), (e % 60 * 500_000 + 24_500_000).alias("bit_rate"), width.alias("width"), height.alias("height"), (e % 3 == 0).alias("low_delay"),
+        (e % 13 < 3).alias("progressive"), pick((130, 68, 70), e % 10 % 3).alias("profile"), pick((422, 420, 0), e % 6 % 3).alias("chroma"), F.when(e % 15 > 0, F.floor(e % 10 / 5) + 1).alias("primaries"),
+        width.alias("display_width"), height.alias("display_height"), (e % 19 > 9).alias("tff"), (e % 12 + 10).alias("max_gop"), (e % 23 > 4).alias("closed_gop"), (e % 29 > 4).alias("identical_gop"),
+    )
+    return M.shim_violations(h, M.references(spark), "stream", most=2).drop("nth")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 11 AS t, o_orderkey % 7 AS x FROM orders),
+p AS (SELECT k, t, ['string', 'bool', 'uint8', 'uint16', 'int64', 'duration', 'position', 'timestamp', 'rational', 'version', NULL][t + 1] AS type,
+  CASE t WHEN 0 THEN 'Ærø ' || k WHEN 1 THEN ['true', 'false', '1', '0', 'yes', 'True', ''][x + 1] WHEN 2 THEN CAST(k % 300 AS VARCHAR) WHEN 3 THEN k || 'x' WHEN 4 THEN '-' || k WHEN 5 THEN CASE WHEN x < 3 THEN CAST(k AS VARCHAR) ELSE k % 24 || ':59:' || x || ':3' END
+  WHEN 6 THEN CASE WHEN x < 2 THEN CAST(k AS VARCHAR) WHEN x < 6 THEN '10:' || x || ':00' || CASE WHEN x < 4 THEN ':' ELSE ';' END || '12' ELSE '10:00' END WHEN 7 THEN CASE WHEN x < 3 THEN '2014-3-' || (x + 1) WHEN x < 6 THEN '2014-12-0' || x || 'T1:02:' || (x + 10) || 'Z' ELSE 'today' END
+  WHEN 8 THEN CASE WHEN x < 5 THEN k || '/' || x ELSE '16:9' END WHEN 9 THEN CASE WHEN x < 3 THEN x || '.' || k % 300 ELSE CAST(k % 70000 AS VARCHAR) END ELSE 'v' END AS value, x FROM o),
+q AS (SELECT *, CASE WHEN t = 0 THEN left(value, 8) END AS text,
+  CASE t WHEN 1 THEN CASE WHEN x IN (0, 2) THEN 1 WHEN x IN (1, 3) THEN 0 END WHEN 2 THEN CASE WHEN k % 300 < 256 THEN k % 300 END WHEN 3 THEN CASE WHEN k < 65536 THEN k END WHEN 4 THEN -k
+  WHEN 5 THEN CASE WHEN x < 3 THEN k ELSE ((k % 24 * 60 + 59) * 60 + x) * 30 + 3 END
+  WHEN 6 THEN CASE WHEN x < 2 THEN k WHEN x < 4 THEN ((600 + x) * 60) * 30 + 12 WHEN x < 6 THEN ((600 + x) * 60) * 30 + 12 - 2 * (600 + x - (600 + x) // 10) END - CASE WHEN x BETWEEN 2 AND 5 THEN 107892 ELSE 0 END
+  WHEN 9 THEN CASE WHEN x < 3 THEN CASE WHEN k % 300 < 256 THEN x * 256 + k % 300 END WHEN k % 70000 < 65536 THEN k % 70000 END END AS number,
+  CASE WHEN t = 8 AND x < 5 THEN k END AS num, CASE WHEN t = 8 AND x < 5 THEN x END AS den,
+  CASE WHEN t = 7 AND x < 3 THEN '2014-03-0' || (x + 1) || 'T00:00:00' WHEN t = 7 AND x < 6 THEN '2014-12-0' || x || 'T01:02:' || (x + 10) END AS moment FROM p)
+SELECT k, type, text, CAST(number AS BIGINT) AS number, CAST(num AS BIGINT) AS num, CAST(den AS BIGINT) AS den, moment,
+  CASE WHEN t = 10 THEN 'no such property' WHEN text IS NULL AND number IS NULL AND num IS NULL AND moment IS NULL THEN 'not a value of type ' || type WHEN length(text) < length(value) THEN 'truncated' END AS problem FROM q""")
+def b22_typed_properties(spark, sf_dir):
+    """A property of each order, of each type in turn, with good and bad values, at 29.97 frames a second from 01:00:00;00."""
+    k = F.col("o_orderkey")
+    t, x, own = k % 11, k % 7, k.cast("string")
+    case = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    value = (
+        F.when(t == 0, case("Ærø ", own)).when(t == 1, F.get(F.array(*map(F.lit, ("true", "false", "1", "0", "yes", "True", ""))), x.cast("int"))).when(t == 2, (k % 300).cast("string")).when(t == 3, case(own, "x"))
+        .when(t == 4, case("-", own)).when(t == 5, F.when(x < 3, own).otherwise(case(k % 24, ":59:", x, ":3"))).when(t == 6, F.when(x < 2, own).when(x < 6, case("10:", x, ":00", F.when(x < 4, ":").otherwise(";"), "12")).otherwise("10:00"))
+        .when(t == 7, F.when(x < 3, case("2014-3-", x + 1)).when(x < 6, case("2014-12-0", x, "T1:02:", x + 10, "Z")).otherwise("today")).when(t == 8, F.when(x < 5, case(own, "/", x)).otherwise("16:9"))
+        .when(t == 9, F.when(x < 3, case(x, ".", k % 300)).otherwise((k % 70000).cast("string"))).otherwise("v")
+    )
+    p = table(spark, sf_dir, "orders").select(k.alias("k"), F.lit("core").alias("framework"), case("p", t).alias("name"), value.alias("value"))
+    types = ("string", "bool", "uint8", "uint16", "int64", "duration", "position", "timestamp", "rational", "version")
+    rules = spark.createDataFrame([("core", f"p{i}", n, 8 if n == "string" else 0) for i, n in enumerate(types)], "framework string, name string, type string, length int")
+    out = M.typed(p, rules, 30000, 1001, 107892)
+    return out.select("k", "type", "text", "number", F.col("pair.num").alias("num"), F.col("pair.den").alias("den"), "moment", "problem")
