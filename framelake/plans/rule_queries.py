@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import identifiers as B
 from ..functions import rational as R
@@ -10,6 +11,7 @@ from ..operators import channels as C
 from ..operators import events as V
 from ..operators import index as X
 from ..operators import integrity as G
+from ..operators import labels as L
 from ..operators import pictures as Q
 from ..operators import shims as M
 from ..operators import timeline as S
@@ -293,3 +295,35 @@ def b22_typed_properties(spark, sf_dir):
     rules = spark.createDataFrame([("core", f"p{i}", n, 8 if n == "string" else 0) for i, n in enumerate(types)], "framework string, name string, type string, length int")
     out = M.typed(p, rules, 30000, 1001, 107892)
     return out.select("k", "type", "text", "number", F.col("pair.num").alias("num"), F.col("pair.den").alias("den"), "moment", "problem")
+
+
+_LABELS = """o AS (SELECT o_custkey AS file, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS track FROM orders),
+l AS (SELECT file, track, o_orderkey * 100 + l_linenumber AS seq, ['chL', 'chR', 'sgST', 'ggMPg', 'chC', 'sgM', 'ggAPg'][l_linenumber] AS tag, l_linenumber AS n, o_orderkey AS k,
+  CASE l_linenumber WHEN 3 THEN 's' || o_orderkey % 3 WHEN 4 THEN CASE WHEN o_orderkey % 4 > 0 THEN 'g' END WHEN 7 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'g' END END AS id,
+  o_orderkey % 7 > 1 AS again, CASE WHEN l_linenumber = 4 AND o_orderkey % 6 < 4 THEN 't' || o_orderkey % 2 END AS title FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) JOIN o ON o_orderkey = l_orderkey)"""
+
+
+@query(f"""WITH {_LABELS}, k AS (SELECT *, CASE WHEN n IN (1, 2, 5) THEN 'ch' WHEN n IN (3, 6) THEN 'sg' ELSE 'gg' END AS kind, CASE WHEN id IS NULL THEN 'n' || seq ELSE CASE WHEN n IN (3, 6) THEN 'sg' ELSE 'gg' END || id END AS own FROM l),
+f AS (SELECT *, first_value(seq) OVER w AS label, first_value(tag) OVER w AS tag1, first_value(title) OVER w AS title1, first_value(track) OVER w AS track1, row_number() OVER (PARTITION BY file, own, track ORDER BY seq) AS nth FROM k WINDOW w AS (PARTITION BY file, own ORDER BY seq)),
+d AS (SELECT f.file, f.track, f.seq, (SELECT min(x.seq) FROM f x WHERE x.file = f.file AND x.track = f.track AND x.kind = 'sg' AND x.seq > f.seq) AS next_sg,
+  (SELECT coalesce(max(x.seq), 0) FROM f x WHERE x.file = f.file AND x.track = f.track AND x.kind = 'sg' AND x.seq < f.seq) AS last_sg, (SELECT coalesce(max(x.seq), 0) FROM f x WHERE x.file = f.file AND x.track = f.track AND x.kind = 'ch' AND x.seq < f.seq) AS last_ch FROM f),
+b AS (SELECT f.file, f.seq AS gg, f.label, x.seq FROM f JOIN d USING (file, seq) JOIN f x ON x.file = f.file AND x.track = f.track AND x.kind = 'sg' AND x.seq < f.seq AND x.seq > d.last_ch WHERE f.kind = 'gg'),
+g AS (SELECT file, seq, list_sort(list(DISTINCT label)) AS groups FROM b GROUP BY ALL)
+SELECT f.file, f.track, f.seq, f.kind, f.label, f.label = f.seq OR (f.again AND f.nth = 1 AND f.track1 <> f.track) AS stored, CASE WHEN f.kind = 'ch' THEN CASE f.n WHEN 5 THEN 1 ELSE f.n END END AS channel_id,
+  CASE WHEN f.kind = 'ch' THEN y.label END AS "group", CASE WHEN f.kind = 'sg' THEN coalesce(list_aggregate(CASE WHEN f.label = f.seq THEN g.groups ELSE g1.groups END, 'string_agg', ','), '') END AS groups, f.title1 AS title,
+  CASE WHEN f.tag1 <> f.tag THEN 'one id for different labels' WHEN f.label <> f.seq AND f.title IS NOT NULL AND f.title IS DISTINCT FROM f.title1 THEN 'other properties than the first of its id'
+    WHEN f.kind = 'sg' AND f.label <> f.seq AND g.groups IS NOT NULL AND g.groups IS DISTINCT FROM g1.groups THEN 'other groups than the first of its id' WHEN f.kind = 'sg' AND d.last_ch <= d.last_sg THEN 'no channels in a soundfield group'
+    WHEN f.kind = 'gg' AND NOT EXISTS (FROM b WHERE b.file = f.file AND b.gg = f.seq) THEN 'no soundfield group before it' END AS problem
+FROM f JOIN d ON d.file = f.file AND d.seq = f.seq LEFT JOIN f y ON y.file = f.file AND y.seq = d.next_sg LEFT JOIN g ON g.file = f.file AND g.seq = f.seq LEFT JOIN g g1 ON g1.file = f.file AND g1.seq = f.label""")
+def b23_inserted_labels(spark, sf_dir):
+    """Labels of the orders of a customer, a track each: two soundfields with their channels, and groups that share ids from track to track."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("track"))
+    n, k = F.col("l_linenumber"), F.col("o_orderkey")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct().join(o, "o_orderkey")
+    tag = F.get(F.array(*map(F.lit, ("chL", "chR", "sgST", "ggMPg", "chC", "sgM", "ggAPg"))), n - 1)
+    id_ = F.when(n == 3, F.concat(F.lit("s"), k % 3)).when((n == 4) & (k % 4 > 0), "g").when((n == 7) & (k % 5 == 0), "g")
+    props = F.when((n == 4) & (k % 6 < 4), F.create_map(F.lit("title"), F.concat(F.lit("t"), k % 2))).otherwise(F.create_map().cast("map<string,string>"))
+    lines = li.select("file", "track", (k * 100 + n).alias("seq"), tag.alias("tag"), id_.alias("id"), (k % 7 > 1).alias("repeat"), F.when(n == 5, 0).otherwise(n - 1).alias("channel"), props.alias("props"))
+    symbols = spark.createDataFrame([("chL", "ch", "Left"), ("chR", "ch", "Right"), ("chC", "ch", "Center"), ("sgST", "sg", "Standard Stereo"), ("sgM", "sg", "Monoaural"), ("ggMPg", "gg", "Main Program"), ("ggAPg", "gg", "Alternative Program")], "tag string, kind string, name string")
+    out = L.insert_labels(lines, symbols, "file")
+    return out.select("file", "track", "seq", "kind", "label", "stored", "channel_id", "group", F.array_join("groups", ",").alias("groups"), F.element_at("inherited", "title").alias("title"), "problem")
