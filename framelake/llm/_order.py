@@ -19,7 +19,8 @@ FREQUENT = 1000
 def running(spark: SparkSession, df: DataFrame, group: str, order: list[Column], values: list[str], label: str) -> DataFrame:
     """``df`` with ``upto_<value>`` for each of ``values`` (longs, none null): its sum over the rows of ``group`` (a long) up to this one.
 
-    Rows are dealt by ranges of group and order, so a large group spans many tasks.  Sums within a range come first; then
+    Rows are dealt by ranges of group and order, so a large group spans many tasks; ranges are drawn from a sample first, so ``df`` is read twice and should be stored if
+    it is costly.  Sums within a range come first; then
     those groups that reach into a further range get the totals of the ranges before, a row or two for each range.
     """
     names = [f"upto_{v}" for v in values]

@@ -147,7 +147,8 @@ def draw(spark: SparkSession, weighed: DataFrame, percent: int = PERCENT, least:
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     scored = weighed.withColumn("score", F.col("weight") + noise).withColumn("open", (F.col("n_words") >= least).cast("long"))
     by = [F.desc("score"), F.asc_nulls_last("doc_id")]
-    placed = running(spark, scored.withColumn("all", F.lit(0).cast("long")), "all", by, ["open"], "scores")
+    scored = materialize(spark, scored.withColumn("all", F.lit(0).cast("long")), "weights")
+    placed = running(spark, scored, "all", by, ["open"], "scores")
     drawn = (placed.agg(F.sum("open")).first()[0] or 0) * percent // 100
     rank = F.when((F.col("open") == 1) & (F.col("upto_open") <= drawn), F.col("upto_open"))
     return placed.select("doc_id", "n_features", "weight", "score", rank.alias("rank"))

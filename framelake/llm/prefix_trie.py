@@ -39,6 +39,7 @@ def turns(spark: SparkSession, df: DataFrame) -> DataFrame:
     digest = F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = df.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), digest.alias("digest"), words.alias("words"), F.lit(1).cast("long").alias("one"))
+    rows = materialize(spark, rows, "digests")
     order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("digest")]
     return running(spark, rows, "conv_id", order, ["one"], "turns").select("conv_id", F.col("upto_one").alias("pos"), "digest", "words")
 
@@ -141,6 +142,7 @@ def trie(spark: SparkSession, df: DataFrame, family: int = FAMILY, openings: int
     own = nodes.select("conv_id", "depth", ((F.col("held") - 1) * F.col("words")).alias("saving"), (F.col("n_children") == 0).cast("long").alias("leaf"))
     none = F.lit(0).cast("long")
     steps = path.select("conv_id", "depth", "name").join(own, ["conv_id", "depth"], "left").withColumn("saving", F.coalesce("saving", none)).withColumn("leaf", F.coalesce("leaf", none))
+    steps = materialize(spark, steps, "own-steps")
     below = running(spark, steps, "conv_id", [F.desc("depth")], ["saving", "leaf"], "steps").groupBy("name").agg(F.sum("upto_saving").alias("saved_tokens"), F.sum("upto_leaf").alias("n_leaves"))
     last = ends(spark, path.join(convs, (path["conv_id"] == convs["conv_id"]) & (path["depth"] == convs["n"])).select("name", path["conv_id"]))
     out = nodes.join(below, "name").join(last, "name", "left")
