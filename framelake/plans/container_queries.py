@@ -137,3 +137,37 @@ def s26_system(spark, sf_dir):
 
     e = each(table(spark, sf_dir, "events").select("event_id"), parse, f"event_id long, {X.SYSTEM}")
     return e.select("event_id", "num", "den", F.hex("creation").alias("creation"), F.hex("user").alias("user"), F.when(F.col("timecodes").isNotNull(), F.size("timecodes")).cast("long").alias("timecodes"), "mark", F.length("umid").cast("long").alias("umid"))
+
+
+def with_events(customer: int, orders: list[tuple[int, str]]) -> bytes:
+    """A file with a timecode track (dropping for every third customer) that refers to its component directly, an event track with an event for each order, and a static track."""
+    one = lambda kind, k=0: struct.pack(">QII", customer, kind, k)
+    t, i4, i8 = H.TAGS, lambda x: struct.pack(">I", x), lambda x: struct.pack(">q", x)
+    wide = lambda x: x.encode("utf-16-be") + b"\0\0"
+    base, drop = (30, 1) if customer % 3 == 0 else (25, 0)
+    made = [
+        X.build_primer({t["package_uid"]: bytes(16)}),
+        X.build_set("material package", one(1), [(t["package_uid"], bytes(24) + i8(customer)), (t["tracks"], X.batch([one(2), one(3), one(4)]))]),
+        X.build_set("track", one(2), [(t["track_id"], i4(901)), (t["edit_rate"], struct.pack(">ii", 30000 if drop else 25, 1001 if drop else 1)), (t["origin"], i8(2)), (t["sequence"], one(5))]),
+        X.build_set("timecode", one(5), [(t["duration"], i8(-1)), (t["tc_start"], i8(customer * 7)), (t["tc_base"], struct.pack(">H", base)), (t["tc_drop"], bytes([drop]))]),
+        X.build_set("event track", one(3), [(t["track_id"], i4(902)), (t["event_rate"], struct.pack(">ii", 25, 1)), (t["event_origin"], i8(0)), (t["sequence"], one(6))]),
+        X.build_set("sequence", one(6), [(t["components"], X.batch([one(7, k) for k in range(len(orders))]))]),
+        *(X.build_set("dm segment", one(7, k), [(t["duration"], i8(1)), (t["event_start"], i8(order)), (t["event_comment"], wide(name))]) for k, (order, name) in enumerate(orders)),
+        X.build_set("static track", one(4), [(t["track_id"], i4(903)), (t["sequence"], one(8))]),
+        X.build_set("sequence", one(8), [(t["components"], X.batch([one(9)]))]),
+        X.build_set("dm segment", one(9), [(t["event_comment"], wide("static"))]),
+    ]
+    header = b"".join(made)
+    return X.build_partition("header", header_bytes=len(header)) + header
+
+
+@query("""WITH o AS (SELECT o_custkey AS file, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), c AS (SELECT DISTINCT o_custkey AS file FROM orders)
+SELECT file, 0 AS at, 901 AS track_id, 'track' AS form, CASE WHEN file % 3 = 0 THEN 30000 ELSE 25 END AS num, 2 AS origin, 0 AS n, 'timecode' AS part, file * 7 AS start, -1 AS duration, CASE WHEN file % 3 = 0 THEN 30 ELSE 25 END AS base, file % 3 = 0 AS drop_, NULL AS comment FROM c
+UNION ALL SELECT file, 1, 902, 'event track', 25, 0, n, 'dm segment', o_orderkey, 1, NULL, NULL, o_orderpriority FROM o UNION ALL SELECT file, 2, 903, 'static track', NULL, NULL, 0, 'dm segment', NULL, NULL, NULL, NULL, 'static' FROM c""")
+def s3_other_tracks(spark, sf_dir):
+    """Timecode, event and static tracks; an event for each order of a customer."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("o"))
+    rows = o.select("o_custkey", F.transform("o", lambda x: F.struct(x["o_orderkey"].alias("k"), x["o_orderpriority"].alias("p"))).alias("o"))
+    parse = lambda row: ({"file": row[0], **r} for r in X.properties(with_events(row[0], [(x["k"], x["p"]) for x in row[1]])))
+    t = H.other_tracks(each(rows, parse, f"file long, {X.PROPERTIES}"), "file")
+    return t.select("file", F.col("at").cast("long").alias("at"), "track_id", "form", F.col("rate.num").alias("num"), "origin", F.col("n").cast("long").alias("n"), "part", "start", "duration", "base", F.col("drop").alias("drop_"), "comment")
