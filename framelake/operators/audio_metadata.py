@@ -97,13 +97,20 @@ def _bits(text: Column) -> Column:
 def segments(frames: DataFrame, keys: Sequence[str], first: str = "first", second: str = "second") -> DataFrame:
     """A row for each segment of each frame's two packets (binary, either null): keys, ``subframe`` (1, 2), ``segment`` (0 is the sync), ``id``, ``data``, ``intact`` (its checksum) and ``problem``.
 
-    Sub-frames are looked for in the data of both packets one after another.  A frame without any gives a row with its ``problem``, as does a sub-frame that doesn't end.
+    Sub-frames are looked for in the data of both packets one after another; the word that comes first counts, and a first sub-frame after a second replaces it.  A frame without any gives a row with its ``problem``, as does a sub-frame that doesn't end.
     """
     a, b = packet_data(F.col(first)), packet_data(F.col(second))
     rows = frames.select(*keys, F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))).alias("_t"), (a.isNull() | b.isNull()).alias("_bad"))
-    t, at = F.col("_t"), lambda c: F.call_function("locate", _word(c[0]), F.col("_t"), c[1])
-    rows = rows.withColumn("_a", at((FIRST, F.lit(1)))).withColumn("_one", F.when(F.col("_a") > 0, _segments(t, F.col("_a") + 2)))
-    rows = rows.withColumn("_b", at((SECOND, F.coalesce(F.col("_one.at"), F.lit(1))))).withColumn("_two", F.when(F.col("_b") > 0, _segments(t, F.col("_b") + 2)))
+    t, at = F.col("_t"), lambda word, begin: F.call_function("locate", _word(word), F.col("_t"), begin)
+    rows = rows.withColumns({"_f": at(FIRST, F.lit(1)), "_s": at(SECOND, F.lit(1))})
+    lone = (F.col("_s") > 0) & ((F.col("_f") == 0) | (F.col("_s") < F.col("_f")))  # then what looks like the first one's word is data of the second, up to the end of the frame
+    rows = rows.withColumn("_lone", F.when(lone, _segments(t, F.col("_s") + 2)))
+    after = F.when((F.col("_f") > 0) & F.col("_lone").isNotNull(), at(FIRST, F.col("_lone.at")))
+    ends = F.when(after > 0, at(END, F.col("_lone.at")))
+    rows = rows.withColumn("_a", F.when(F.col("_lone").isNull(), F.col("_f")).when((after > 0) & ((ends == 0) | (after < ends)), after).otherwise(0))
+    rows = rows.withColumn("_one", F.when(F.col("_a") > 0, _segments(t, F.col("_a") + 2)))
+    rows = rows.withColumn("_b", F.when(F.col("_one").isNotNull(), at(SECOND, F.col("_one.at"))).otherwise(F.col("_s")))
+    rows = rows.withColumn("_two", F.when(F.col("_one").isNull(), F.col("_lone")).when(F.col("_b") > 0, _segments(t, F.col("_b") + 2)))
     none = F.struct(F.lit(0).alias("subframe"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("struct<at:int,ok:boolean,stop:boolean,found:array<struct<id:int,size:int,begin:int,checksum:int>>>").alias("s"))
     sub = lambda n, begin, s: F.struct(F.lit(n).alias("subframe"), (F.col(begin) + 2).alias("begin"), F.col(s).alias("s"))
     some = F.filter(F.array(sub(1, "_a", "_one"), sub(2, "_b", "_two")), lambda x: x["s"].isNotNull())
@@ -154,12 +161,14 @@ def fields(segments_: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def packets(fields_: DataFrame, keys: Sequence[str], sdid: int) -> DataFrame:
     """The reverse of ``fields``: ``first`` and ``second`` packets of each frame from its rows (subframe, segment, id, ord, width, value)."""
-    bits = F.lpad(F.conv(F.col("value").cast("string"), 10, 2), 64, "0")
+    bits = F.lpad(F.bin(F.col("value").cast("long")), 64, "0")
     one = F.struct("ord", F.substring(bits, 65 - F.col("width"), F.col("width")).alias("b"))
     rows = fields_.groupBy(*keys, "subframe", "segment", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["b"]), "").alias("_b"))
     n = F.length("_b")
     full = F.rpad("_b", F.call_function("div", n + 7, F.lit(8)).cast("int") * 8, "0")
-    hexes = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.call_function("div", F.length(b), F.lit(8)).cast("int") - 1), lambda k: F.lpad(F.conv(F.substring(b, k * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    eights = lambda b: F.sequence(F.lit(0), F.call_function("div", F.length(b) - 1, F.lit(64)).cast("int"))  # noqa: E731  eight bytes at once
+    word8 = lambda x: F.lpad(F.conv(x, 2, 16), F.call_function("div", F.length(x), F.lit(4)).cast("int"), "0")
+    hexes = lambda b: F.array_join(F.transform(eights(b), lambda k: word8(F.substring(b, k * 64 + 1, F.lit(64)))), "")
     rows = rows.withColumn("_h", hexes(full)).withColumn("_size", F.call_function("div", F.length("_h"), F.lit(2)).cast("int"))
     text = _chars(F.unhex("_h"))
     byte = lambda c: F.lpad(F.hex(c), 2, "0")
