@@ -18,21 +18,31 @@ MOST = 4096
 
 
 
-def _so_far(key: str):
-    return Window.partitionBy(key).orderBy("track", "channel").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _placed(tracks: DataFrame, key: str) -> DataFrame:
+    """PCM tracks with channels and all others: ``_before`` and ``_others`` count the PCM channels and other tracks before each, ``_all`` the PCM channels of the key.
+
+    Windows go over tracks; channels are made from what they tell, so a task sorts no more than its tracks.
+    """
+    w = Window.partitionBy(key).orderBy("track")
+    before, whole = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.when(F.col("is_pcm"), F.col("channels")).otherwise(0)
+    rows = tracks.where("is_pcm is not null and (not is_pcm or channels > 0)").select(key, "track", F.col("is_pcm").alias("_pcm"), n.alias("_n"), (~F.col("is_pcm")).cast("int").alias("_other"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    rows = rows.withColumns({"_before": so_far("_n"), "_others": so_far("_other"), "_all": F.sum("_n").over(whole).cast("int")})
+    pcm = F.col("_pcm")
+    return rows.withColumns({"_held": F.last(F.when(pcm, F.col("_others")), ignorenulls=True).over(before), "_first": F.min(F.when(pcm, F.col("_others"))).over(whole)})
 
 
-def _inputs(tracks: DataFrame, key: str) -> DataFrame:
-    """A row (channel, ``_pcm``, ``_input``) for each PCM channel and each other track; ``_input`` counts the PCM ones."""
-    last = F.when(F.col("is_pcm"), F.col("channels") - 1).otherwise(0)
-    rows = tracks.where("is_pcm is not null and (not is_pcm or channels > 0)").select(key, "track", F.explode(F.sequence(F.lit(0), last)).alias("channel"), F.col("is_pcm").alias("_pcm"))
-    return rows.withColumn("_input", F.sum(F.col("_pcm").cast("int")).over(_so_far(key)).cast("int") - 1)
+def _channels(placed: DataFrame) -> DataFrame:
+    """A row (channel, ``_input``) for each PCM channel and each other track."""
+    last = F.when(F.col("_pcm"), F.col("_n") - 1).otherwise(0)
+    return placed.withColumn("channel", F.explode(F.sequence(F.lit(0), last))).withColumn("_input", F.col("_before") + F.col("channel"))
 
 
 def mono_map(tracks: DataFrame, key: str) -> DataFrame:
     """An output for each PCM channel and each other track, in input order: out_track, out_channel, track, channel."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("track", "channel")) - 1
-    return _inputs(tracks, key).select(key, rank.alias("out_track"), F.lit(0).alias("out_channel"), "track", "channel")
+    rows = _channels(_placed(tracks, key))
+    return rows.select(key, (F.col("_input") + F.col("_others")).alias("out_track"), F.lit(0).alias("out_channel"), "track", "channel")
 
 
 def stereo_map(tracks: DataFrame, key: str) -> DataFrame:
@@ -41,21 +51,20 @@ def stereo_map(tracks: DataFrame, key: str) -> DataFrame:
     An output stands where the first of its pair does.
     """
     pcm, odd = F.col("_pcm"), F.col("_input") % 2
-    own = F.struct("track", "channel")
-    at = F.when(~pcm, own).otherwise(F.last(F.when(pcm & (odd == 0), own), ignorenulls=True).over(_so_far(key)))
-    alone = pcm & (odd == 0) & (F.col("_input") == F.max(F.when(pcm, F.col("_input"))).over(Window.partitionBy(key)))
-    placed = _inputs(tracks, key).withColumns({"_at": at, "_alone": alone}).withColumn("out_track", F.dense_rank().over(Window.partitionBy(key).orderBy("_at")) - 1)
+    pairs = (F.col("_input") + F.when(pcm, 0).otherwise(1)).cast("int")  # begun before, twice; an odd one is whole
+    others = F.when(pcm & (odd == 1) & (F.col("channel") == 0), F.col("_held")).otherwise(F.col("_others"))  # its pair begins in the PCM track before
+    out = (F.shiftright(pairs, 1) + others).alias("out_track")
+    alone = pcm & (odd == 0) & (F.col("_input") == F.col("_all") - 1)
     sound = F.struct(F.when(pcm, odd).otherwise(0).alias("out_channel"), "track", "channel")
     nothing = F.struct(F.lit(1).alias("out_channel"), F.lit(None).cast(tracks.schema["track"].dataType).alias("track"), F.lit(None).cast("int").alias("channel"))
-    return placed.select(key, "out_track", F.inline(F.when(F.col("_alone"), F.array(sound, nothing)).otherwise(F.array(sound))))
+    return _channels(_placed(tracks, key)).select(key, out, F.inline(F.when(alone, F.array(sound, nothing)).otherwise(F.array(sound))))
 
 
 def single_map(tracks: DataFrame, key: str) -> DataFrame:
     """All PCM channels in one output, which stands where the first of them is; others keep their own."""
     pcm = F.col("_pcm")
-    at = F.when(pcm, F.min(F.when(pcm, F.col("track"))).over(Window.partitionBy(key))).otherwise(F.col("track"))
-    placed = _inputs(tracks, key).withColumn("_at", at).withColumn("out_track", F.dense_rank().over(Window.partitionBy(key).orderBy("_at")) - 1)
-    return placed.select(key, "out_track", F.when(pcm, F.col("_input")).otherwise(0).alias("out_channel"), "track", "channel")
+    out = F.when(pcm, F.col("_first")).otherwise(F.col("_others") + (F.col("_before") > 0).cast("int"))
+    return _channels(_placed(tracks, key)).select(key, out.alias("out_track"), F.when(pcm, F.col("_input")).otherwise(0).alias("out_channel"), "track", "channel")
 
 
 def parse_definition(text: str) -> list[dict]:

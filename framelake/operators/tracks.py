@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rational import convert_position, rate_factors
+from .spread import spread
 
 
 #: Types that a user may declare to be D-10.
@@ -78,7 +79,7 @@ def resolve_chain(spark: SparkSession, clips: DataFrame, wanted: str) -> DataFra
 
 def source_packages(clips: DataFrame, packages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source clips with the package and track they name; a clip may match several."""
-    return clips.join(packages, [*keys])
+    return spread(clips, *keys).join(packages, [*keys])
 
 
 def essence_containers(essence: DataFrame, packages: DataFrame, uid: str) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import index as X
 from ..operators import timeline as S
+from ..operators.spread import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,10 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """track, position (from 0, without gaps), size."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("position"), F.col("l_quantity").cast("long").alias("size"))
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("track"), (F.row_number().over(w) - 1).cast("long").alias("position"), F.col("l_quantity").cast("long").alias("size"))
 
 
 _FRAMES = """f AS (SELECT l_orderkey AS track, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) - 1 AS position,
@@ -219,8 +219,8 @@ def w2_running_offset(spark, sf_dir):
 @query(f"WITH {_OFFSETS} SELECT track, position, size FROM o")
 def w1_edit_unit_size(spark, sf_dir):
     o = X.running_offsets(frames(spark, sf_dir), "track")
-    ends = o.groupBy("track").agg(F.max(F.col("offset") + F.col("size")).alias("end"))
-    return X.edit_unit_sizes(o.drop("size").join(ends, "track"), "track", "end").select("track", "position", "size")
+    end = F.max(F.col("offset") + F.col("size")).over(Window.partitionBy("track"))
+    return X.edit_unit_sizes(o.withColumn("end", end).drop("size"), "track", "end").select("track", "position", "size")
 
 
 @query("SELECT event_id AS position, 4096 + event_id * 1920 AS \"offset\", 128 AS flags FROM events")
