@@ -1,9 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
 Two texts are near copies if their sets of ``SHINGLE``-word shingles have a similarity of ``SIMILARITY`` or more; groups are
-closed over such links.  64-bit SimHash can't find these: at similarity 0.8 fingerprints differ in about 10 bits, often
-in 14, and at such distances its grid compares nearly all pairs.  Candidates therefore come from MinHash: ``BANDS`` keys of
-``ROWS`` minima each.  A pair of similarity 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
+closed over such links.  Candidates come from ``simhash``: classes whose fingerprints over the same shingles meet within its distance
+in its grid.  At similarity 0.8 fingerprints differ in about 10 bits, often in 14, and at such distances the grid compares nearly all
+pairs; those that it leaves come from MinHash: ``BANDS`` keys of ``ROWS`` minima each.  A pair of similarity 0.8 shares no key with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million.
 Each candidate pair is then verified on its whole shingle sets, so no pair below the similarity links.
 
 Equal sets are one class throughout, so groups of copies cost no pairs.  A class that shares a key is first verified against
@@ -136,18 +136,22 @@ def _across(batches):
 
 
 def prints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, node, keys, marks`` of rows with an id."""
+    """``doc_id, node, keys, marks, fp`` of rows with an id."""
 
     def run(batches):
         for batch in sliced(batches, 1):
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            sets, fps = [], []
+            for t in batch.column(1).to_pylist():
+                hashes = simhash.shingle_hashes(t, shingle)
+                sets.append(np.unique(hashes.astype(np.uint64)))
+                fps.append(simhash.fingerprint_of(hashes))
             keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.empty(0, dtype=np.int64)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            columns = [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), listed, pa.array([marks(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "keys", "marks"])
+            columns = [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), listed, pa.array([marks(s).tobytes() for s in sets], pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "keys", "marks", "fp"])
 
     rows = df.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, node long, keys array<long>, marks binary")
+    return rows.mapInArrow(run, "doc_id long, node long, keys array<long>, marks binary, fp long")
 
 
 def _sets(batches, shingle: int):
@@ -175,6 +179,14 @@ def verified(spark: SparkSession, df: DataFrame, classes: DataFrame, pairs: Data
     return materialize(spark, common.where(F.col("n") * whole >= (F.col("total") - F.col("n")) * part).select("a", "b"), "similar")
 
 
+def printed(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """Pairs of classes (node, fp) that SimHash links: by its grid those of different fingerprints, and those of an equal one with its least node."""
+    least = materialize(spark, classes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    met = simhash.links(least.select(F.col("least").alias("node"), "fp"))
+    equal = classes.select("node", "fp").join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return met.unionAll(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _starred(shared: DataFrame) -> DataFrame:
     """Pairs of the node of each key that meets most others under all its keys with the key's others."""
     rank = shared.groupBy("node").agg(F.sum("held").alias("met"))
@@ -198,12 +210,12 @@ def _likely(shared: DataFrame, members: DataFrame, groups: DataFrame) -> DataFra
 def keep_one(spark: SparkSession, df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``df`` with one document of each group of near copies: that with the smallest doc_id, once; rows without doc_id stay."""
     seen = materialize(spark, prints(df, shingle), "prints")
-    classes = materialize(spark, seen.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
+    classes = materialize(spark, seen.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.min("fp").alias("fp")), "classes")
     keyed = classes.select("node", F.posexplode("keys").alias("band", "key"))
     several = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     shared = materialize(spark, keyed.join(several, "key").select("key", "band", "node", "held"), "shared")
 
-    links = verified(spark, df, classes, materialize(spark, _starred(shared), "pairs"), shingle)
+    links = verified(spark, df, classes, materialize(spark, _starred(shared).unionAll(printed(spark, classes)).distinct(), "pairs"), shingle)
     twice = seen.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
     links = links.unionAll(seen.join(twice, "doc_id").select("a", F.col("node").alias("b")))
     groups = materialize(spark, components(spark, links), "groups")

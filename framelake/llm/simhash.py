@@ -57,7 +57,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The unsigned fingerprint of a text: each bit is set if it is in over half of the shingle hashes."""
-    hashes = shingle_hashes(text, shingle, seed)
+    return fingerprint_of(shingle_hashes(text, shingle, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of a text's shingle hashes, repeats included."""
     if not len(hashes):
         return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
