@@ -25,7 +25,9 @@ from ._common import slices, texts_of
 from .tokenization import TextEncoder, WordTokenizer, _cut, word_tokenizer
 
 #: Symbols in one index; bounds a worker's memory, changes no result.
-INDEX_SYMBOLS = 2_000_000
+INDEX_SYMBOLS = 500_000
+#: Bytes of text encoded at once; bounds memory alike.
+TEXT = 4_000_000
 
 
 class PairIndex:
@@ -168,7 +170,7 @@ def _append(df: DataFrame, add: dict[str, T.DataType], make) -> DataFrame:
 
 def _emit(batch: pa.RecordBatch, names: list[str], path: str, text_col: str, decoded: bool):
     t, encoder = _encoder(path)
-    for part in slices(batch, text_col):
+    for part in slices(batch, text_col, TEXT):
         ids, ends = encoder.coded(texts_of(part.column(text_col)))
         offsets = np.concatenate(([0], ends))
         columns = [*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))]
