@@ -1,7 +1,8 @@
 """Files that are still being written, as a stream that executors read.
 
 The driver only follows the heads of packets, of each file from where the last batch ended, to learn how far whole packets reach; a batch takes
-about ``bytesPerTrigger`` bytes, shared out over the files.  Tasks read the stretches between, so an offset is a position for each
+about ``bytesPerTrigger`` bytes, shared out over the files; where that would be less than ``LEAST`` of each, it takes more of as many files as it has bytes for, and the next batch
+goes on with those behind them.  Tasks read the stretches between, so an offset is a position for each
 file, a packet half written is read once it is complete, and a restart goes on where the last committed batch ended.
 
 ``append_index`` numbers edit units as their elements come in, and ``hold_packages`` holds elements back until those of all tracks of an edit unit are
@@ -10,6 +11,7 @@ there.  Both keep state for each file: two numbers, or the elements of edit unit
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,8 @@ from ..sources import klv, places
 
 #: Bytes of one batch and of one task, about.
 BATCH, SPLIT = 256 << 20, 16 << 20
+#: Bytes that a batch takes of a file before it goes on to the next, at least, as opening one costs about as much.
+LEAST = 1 << 20
 SCHEMA = "path string, key string, track_number long, offset long, size long, value binary"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,15 +50,17 @@ def whole_until(f, at: int, most: int | None = None, every: int = SPLIT) -> list
 
 
 @dataclass
-class _Stretch(InputPartition):
-    path: str
-    begin: int
-    end: int
+class _Stretches(InputPartition):
+    """(path, begin, end) of what one task reads."""
+
+    of: list[tuple[str, int, int]]
 
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, path: str, most: int, split: int, progress: str | None):
         self.path, self.most, self.split, self.progress = path, most, split, progress
+        self._cuts: dict[tuple[str, int], list[int]] = {}  # ends of the stretches that the batch to come was found to have
+        self._reached = self._behind = ""  # the last file that the batch to come, and the one before, took bytes of
         self._last = self._planned()  # the end of the last batch planned; None if this process can't know it
 
     def _planned(self) -> dict[str, int] | None:
@@ -80,54 +86,73 @@ class _Reader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        """Where whole packets end, or ``most`` bytes after the last batch."""
+        """Where whole packets end, or about ``most`` bytes after the last batch."""
         files = places.files_under(self.path)
-        out = dict(self._last or {})
-        share = None if self._last is None else -(-self.most // max(1, len(files)))
-        for path, size in files:
+        out, self._cuts = dict(self._last or {}), {}
+        left = share = None
+        if self._last is not None:
+            left, share = self.most, max(-(-self.most // max(1, len(files))), min(LEAST, self.most))
+        first = bisect.bisect_right(files, self._behind, key=lambda f: f[0])
+        for path, size in files[first:] + files[:first]:
+            if left is not None and left <= 0:
+                break
             at = out.get(path, 0)
             if size > at:
                 f = places.Ranges(path)
                 try:
-                    ends = whole_until(f, at, share)
+                    ends = whole_until(f, at, share, self.split)
                 finally:
                     f.close()
                 if ends:
-                    out[path] = ends[-1]
+                    out[path], self._cuts[path, at], self._reached = ends[-1], ends, path
+                    left = None if left is None else left - (ends[-1] - at)
         return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        found = []
+        """Stretches of about ``split`` bytes, those of small files together."""
+        found, held, size = [], [], 0
         for path, until in end.items():
             at = start.get(path, 0)
-            if until > at:
+            if until <= at:
+                continue
+            cuts = self._cuts.get((path, at), [])
+            if not cuts or cuts[-1] != until:  # a batch that another process planned
                 f = places.Ranges(path)
                 try:
-                    for cut in whole_until(f, at, until - at, self.split):
-                        found.append(_Stretch(path, at, cut))
-                        at = cut
+                    cuts = whole_until(f, at, until - at, self.split)
                 finally:
                     f.close()
+            for cut in cuts:
+                held.append((path, at, cut))
+                size, at = size + cut - at, cut
+                if size >= self.split:
+                    found.append(_Stretches(held))
+                    held, size = [], 0
+        if held:
+            found.append(_Stretches(held))
+        self._cuts, self._behind = {}, self._reached
         self._plan(end)
         return found
 
-    def read(self, partition: _Stretch) -> Iterator[pa.RecordBatch]:
-        f = places.Ranges(partition.path)
-        parser, at, rows, held = klv.Parser(partition.begin), partition.begin, [], 0
-        try:
-            while at < partition.end:
-                data = f.read_at(min(4 << 20, partition.end - at), at)
-                if not data:
-                    raise ValueError(f"{partition.path} has shrunk to {at} bytes")
-                at += len(data)
-                for key, offset, _, value in parser.push(data):
-                    rows.append((partition.path, key.hex(), klv.track_number(key), offset, len(value), value))
-                    held += len(value)
-                if len(rows) >= 1000 or held > 4 << 20:
-                    yield _batch(rows)
-                    rows, held = [], 0
-        finally:
-            f.close()
+    def read(self, partition: _Stretches) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for path, begin, end in partition.of:
+            f = places.Ranges(path)
+            parser, at = klv.Parser(begin), begin
+            try:
+                while at < end:
+                    data = f.read_at(min(4 << 20, end - at), at)
+                    if not data:
+                        raise ValueError(f"{path} has shrunk to {at} bytes")
+                    at += len(data)
+                    for key, offset, _, value in parser.push(data):
+                        rows.append((path, key.hex(), klv.track_number(key), offset, len(value), value))
+                        held += len(value)
+                    if len(rows) >= 1000 or held > 4 << 20:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            finally:
+                f.close()
         if rows:
             yield _batch(rows)
 
@@ -140,7 +165,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class GrowingPackets(DataSource):
     """Source ``growing_packets``: whole packets of the files under ``path`` (a file or a folder, to which files may be added).
 
-    Options: ``bytesPerTrigger`` (of a batch, about; each file gives a packet at least), ``splitBytes`` (for one task), ``progress`` (a file in which the
+    Options: ``bytesPerTrigger`` (of a batch, about; each file that it reaches gives a packet at least), ``splitBytes`` (for one task), ``progress`` (a file in which the
     end of the last batch is kept, since Spark doesn't tell a source where it stands: without it the first batch after a start takes all there is).
     """
 
