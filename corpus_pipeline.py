@@ -17,19 +17,24 @@ from framelake.llm.queries import tokenizer_path
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """Ids and texts, with whole rows beside them, out of reach of the names that operators add."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("own"))
+    """Ids and texts, with the rows' other columns beside them, out of reach of the names that operators add; a row has its text once."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("own"))
+
+
+def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return rows.select(*("text" if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labelled rows of its input, predicts to be good."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(_apart(docs), model).where("predicted = 1").select("own.*")
+    return _together(quality.score(_apart(docs), model).where("predicted = 1"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least two others share, except where the last of them keeps these."""
-    return line_dedup.dedup_lines(spark, _apart(docs)).select(F.col("own").withField("text", F.col("text")).alias("own")).select("own.*")
+    return _together(line_dedup.dedup_lines(spark, _apart(docs)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,9 +131,10 @@ def keep_bitmaps(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", tex
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the kept lines as its text, and ``n_lines long`` (before) and ``n_dropped long``."""
     own = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    rows = df.select(F.struct(*own).alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in own if c != text_col))  # a text goes through the join and to Python once
+    rows = df.select(rest.alias("row"), F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     joined = rows.join(bitmaps.select("doc_id", "t", "keep"), (F.col("d") == F.col("doc_id")) & (F.col("h") == F.col("t")), "left")
-    joined = joined.select("row", "keep", F.col(f"row.`{text_col}`").alias("text"))
+    joined = joined.select("row", "keep", "text")
     schema = T.StructType([*df.select(*own).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches):
@@ -151,7 +152,8 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
                 kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]))
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
-            columns = [pa.array(kept, pa.string()) if c == text_col else x for c, x in zip(own, batch.column("row").flatten(), strict=True)]
+            others = iter(batch.column("row").flatten())
+            columns = [pa.array(kept, pa.string()) if c == text_col else next(others) for c in own]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*own, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(run, schema)

@@ -61,3 +61,11 @@ def test_last_three_stages(spark):
     for d, text in texts.items():
         ids = library.encode(text, add_special_tokens=False).ids
         assert got[d] == (ids, library.decode(ids, skip_special_tokens=False)), d
+
+
+def test_a_text_goes_through_the_stages_once(spark):
+    """Rows beside the texts hold no second copy of them, and columns come back in their order."""
+    docs = spark.createDataFrame([("s", 3, "One line that is long enough.\nown", True)] + [("r", k, "One line that is long enough.", None) for k in (1, 2)], "source string, doc_id long, text string, score boolean")
+    assert corpus_pipeline._apart(docs).schema["own"].dataType.names == ["source", "doc_id", "score"]
+    out = corpus_pipeline.line_stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [("r", 1, "", None), ("r", 2, "", None), ("s", 3, "One line that is long enough.\nown", True)]
