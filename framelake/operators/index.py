@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,16 +58,16 @@ def essence_chunks(parts: DataFrame, key: str) -> DataFrame:
     return parts.withColumn("essence_offset", F.coalesce(F.sum("size").over(w), F.lit(0).cast("long")))
 
 
-def file_positions(offsets: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """File position of essence offsets; null beyond the end."""
+def file_positions(offsets: DataFrame, chunks: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """File position of essence offsets, with the columns ``keep`` of ``offsets``; null beyond the end."""
     c = F.struct("essence_offset", "file_position", "size")
     none = lambda n: F.lit(None).cast("long").alias(n)
-    left = offsets.select(key, F.col("offset").alias("at"), F.lit(1).alias("_kind"), none("essence_offset"), none("file_position"), none("size"))
+    left = offsets.select(key, F.col("offset").alias("at"), F.lit(1).alias("_kind"), none("essence_offset"), none("file_position"), none("size"), F.struct(F.lit(0), *keep).alias("_keep"))
     right = chunks.where("size > 0").select(key, F.col("essence_offset").alias("at"), F.lit(0).alias("_kind"), "essence_offset", "file_position", "size")
     w = Window.partitionBy(key).orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = left.unionByName(right).withColumn("_c", F.last(F.when(F.col("_kind") == 0, c), ignorenulls=True).over(w)).where("_kind = 1")
+    found = left.unionByName(right, allowMissingColumns=True).withColumn("_c", F.last(F.when(F.col("_kind") == 0, c), ignorenulls=True).over(w)).where("_kind = 1")
     inside = F.col("at") - F.col("_c.essence_offset")
-    return found.select(key, F.col("at").alias("offset"), F.when(inside < F.col("_c.size"), F.col("_c.file_position") + inside).alias("file_position"))
+    return found.select(key, F.col("at").alias("offset"), F.when(inside < F.col("_c.size"), F.col("_c.file_position") + inside).alias("file_position"), *(F.col(f"_keep.{c}").alias(c) for c in keep))
 
 
 def essence_offsets(positions: DataFrame, chunks: DataFrame, key: str) -> DataFrame:

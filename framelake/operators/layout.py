@@ -5,8 +5,8 @@ of its tracks one after another.  The index of a body partition follows in the n
 stay within what a local length can say, and temporal offsets are taken from all frames, so no entry waits for frames to come.
 A random index pack ends the file.
 
-Sums over a file's frames are taken in two levels, within runs of positions and over the runs' totals, so a file may have any number of frames
-and no task sees more than a run of them.
+Frames are summed up by partition, and partitions in two levels, within runs and over the runs' totals; where an element stands within its partition follows
+when it is written, as a partition's elements come in order.  So a file may have any number of frames and no task sees more than a run of them.
 """
 
 from __future__ import annotations
@@ -34,53 +34,28 @@ def sums_before(df: DataFrame, key: str, value: str, out: str, at: str = "positi
     return cut.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0))).join(runs, [key, "_run"]).withColumn(out, F.col("_before") + F.col("_own")).drop("_run", "_own", "_before")
 
 
-def elements(frames: DataFrame, key: str, head: int = ELEMENT_HEAD) -> DataFrame:
-    """``within``: how far into its content package each element (key, position, track, size) begins."""
-    w = Window.partitionBy(key, "position").orderBy("track").rowsBetween(Window.unboundedPreceding, -1)
-    return frames.withColumn("within", F.coalesce(F.sum(F.col("size") + head).over(w), F.lit(0)))
-
-
-def content_packages(placed: DataFrame, key: str, entries: list[str] = (), head: int = ELEMENT_HEAD) -> DataFrame:
-    """An edit unit each: ``bytes``, ``slices`` (where its further elements begin), ``stream_offset``, and the columns ``entries`` of its first element."""
-    first = [F.min_by(c, "track").alias(c) for c in entries]
-    units = placed.groupBy(key, "position").agg(F.sum(F.col("size") + head).alias("bytes"), F.sort_array(F.collect_list(F.when(F.col("within") > 0, F.col("within")))).alias("slices"), *first)
-    return sums_before(units, key, "bytes", "stream_offset")
-
-
 def per_segment(tracks: int) -> int:
     """Entries that fit into one index segment."""
     return (MOST - 8) // (ENTRY + SLICE * (tracks - 1))
 
 
-def index_segments(units: DataFrame, key: str, interval: int, tracks: int, most: int | None = None) -> DataFrame:
-    """Segments of at most ``most`` entries by body partition ``part``: number, first position, count, ``bytes``."""
-    most = min(most or per_segment(tracks), per_segment(tracks))
-    within = F.col("position") % interval
-    rows = units.withColumn("part", div(F.col("position"), interval)).withColumn("segment", div(within, most))
-    counted = rows.groupBy(key, "part", "segment").agg(F.min("position").alias("start"), F.count("*").alias("n"))
-    return counted.withColumn("bytes", SEGMENT + 8 + DELTA * tracks + 8 + F.col("n") * (ENTRY + SLICE * (tracks - 1)))
-
-
-def partitions(units: DataFrame, segments: DataFrame, headers: DataFrame, key: str, interval: int, pack_bytes: int, part_head: int = 0) -> DataFrame:
+def partitions(sized: DataFrame, headers: DataFrame, key: str, interval: int, tracks: int, pack_bytes: int, most: int | None = None, head: int = ELEMENT_HEAD, part_head: int = 0) -> DataFrame:
     """Partitions (``part``: -1 for the header, then bodies, and the footer last) with ``offset``, ``index_bytes``, ``body_offset``, ``essence``, ``previous`` and ``footer``.
 
-    ``headers`` has the bytes of each file's header metadata; ``part_head`` bytes begin the essence of each body (the head of clip-wrapped essence).  Sums go over a file's partitions, not its frames.
+    ``sized`` has the size of each element (key, position, size), ``headers`` the bytes of each file's header metadata; ``head`` bytes begin an element, ``part_head`` bytes the essence of each body
+    (the head of clip-wrapped essence); an index segment has ``most`` entries.  Frames are summed up by partition first; all else goes over a file's partitions.
     """
-    bodies = units.groupBy(key, div(F.col("position"), interval).alias("part")).agg((F.sum("bytes") + part_head).alias("essence"), F.min("stream_offset").alias("body_offset"))
-    indexed = segments.groupBy(key, (F.col("part") + 1).alias("part")).agg(F.sum("bytes").alias("index_bytes"))
+    most = min(most or per_segment(tracks), per_segment(tracks))
+    bodies = sized.groupBy(key, div(F.col("position"), interval).alias("part")).agg(F.sum(F.col("size") + head).alias("units"), div(F.count("*"), tracks).alias("n"))
+    begun = sums_before(bodies, key, "units", "body_offset", "part").withColumn("essence", F.col("units") + part_head)
+    n = F.col("n")
+    indexed = bodies.select(key, (F.col("part") + 1).alias("part"), (div(n + (most - 1), most) * (SEGMENT + 8 + DELTA * tracks + 8) + n * (ENTRY + SLICE * (tracks - 1))).alias("index_bytes"))
     count = bodies.groupBy(key).agg((F.max("part") + 1).alias("part"))
     none = F.lit(0).cast("long")
     ends = headers.select(key, F.lit(-1).cast("long").alias("part"), none.alias("essence"), none.alias("body_offset"), "header_bytes").unionByName(count.select(key, "part", none.alias("essence"), none.alias("body_offset"), none.alias("header_bytes")))
-    all_ = ends.unionByName(bodies.withColumn("header_bytes", none)).join(indexed, [key, "part"], "left").withColumn("index_bytes", F.coalesce("index_bytes", none))
+    all_ = ends.unionByName(begun.select(key, "part", "essence", "body_offset", none.alias("header_bytes"))).join(indexed, [key, "part"], "left").withColumn("index_bytes", F.coalesce("index_bytes", none))
     w = Window.partitionBy(key).orderBy("part")
     size = F.lit(pack_bytes) + F.col("header_bytes") + F.col("index_bytes") + F.col("essence")
     placed = all_.withColumn("offset", F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), none))
     file = Window.partitionBy(key)
     return placed.withColumns({"previous": F.coalesce(F.lag("offset").over(w), none), "footer": F.max("offset").over(file), "last": F.col("part") == F.max("part").over(file)})
-
-
-def element_positions(placed: DataFrame, units: DataFrame, parts: DataFrame, key: str, interval: int, pack_bytes: int, part_head: int = 0) -> DataFrame:
-    """``at``: where in its file each element's key begins."""
-    starts = parts.where("part >= 0 and not last").select(key, "part", (F.col("offset") + pack_bytes + F.col("index_bytes") + part_head - F.col("body_offset")).alias("_shift"))
-    rows = placed.join(units.select(key, "position", "stream_offset"), [key, "position"]).withColumn("part", div(F.col("position"), interval))
-    return rows.join(starts, [key, "part"]).withColumn("at", F.col("_shift") + F.col("stream_offset") + F.col("within")).drop("_shift")

@@ -192,3 +192,32 @@ def test_layout_over_runs(spark):
     rows = [("a", p, p % 7) for p in range(50)] + [("b", p, 1) for p in range(3)]
     got = layout.sums_before(spark.createDataFrame(rows, "k string, position long, v long"), "k", "v", "s", run=8).collect()
     assert all(r.s == sum(v for k, p, v in rows if k == r.k and p < r.position) for r in got) and len(got) == 53
+
+
+def test_payloads_are_shuffled_once(spark):
+    """Besides that, only packs and their offsets are: what grows with frames goes through one exchange."""
+    frames, headers = made(spark)
+    stored = lambda df, name: spark.createDataFrame(df.collect(), df.schema)
+    plan = C.pieces(frames, headers, "clip", 2, 4, most=3, keep=stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Exchange rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_gaps_between_stretches_are_noticed(spark, tmp_path):
+    for k, rows in enumerate(([("a", 0, b"xx"), ("a", 3, b"y")], [("a", 0, b"xx"), ("a", 1, b"y")], [("a", 1, b"xx")])):
+        with pytest.raises(Exception, match="no piece ends"):
+            C.write_pieces(spark, spark.createDataFrame(rows, "k string, at long, data binary").coalesce(1), "k", str(tmp_path / str(k)), stretches=True)
+    whole = spark.createDataFrame([("a", 2, b"y"), ("b", 0, b"zz"), ("a", 0, b"xx")], "k string, at long, data binary").coalesce(1)
+    assert sorted((r.name, r.bytes) for r in C.write_pieces(spark, whole, "k", str(tmp_path / "w"), stretches=True).collect()) == [("a", 3), ("b", 2)]
+    assert (tmp_path / "w" / "a.mxf").read_bytes() == b"xxy"
+
+
+def test_many_heads_at_once():
+    data = [klv.build(C.CLIP_KEY, bytes(n), w) for n, w in ((0, 4), (5, 1), (200, 2), (70_000, 8))] + [C.CLIP_KEY, C.CLIP_KEY + b"\x84\0\0"]
+    n, h = C._heads(data)
+    assert n.tolist() == [0, 5, 200, 70_000, -1, -1] and [klv.length(x, 16) for x in data[:4]] == [(a, b - 16) for a, b in zip(n.tolist(), h.tolist(), strict=True)][:4]
+
+
+def test_file_positions_keep_columns(spark):
+    chunks = spark.createDataFrame([(1, 0, 100, 10), (1, 10, 300, 5)], "f long, essence_offset long, file_position long, size long")
+    out = index.file_positions(spark.createDataFrame([(1, 3, "a"), (1, 12, "b"), (1, 15, "c")], "f long, offset long, own string"), chunks, "f", keep=["own"])
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 103, "a"), (1, 12, 302, "b"), (1, 15, None, "c")]
