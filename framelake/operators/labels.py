@@ -96,7 +96,7 @@ def insert_labels(lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     group), ``groups`` (a soundfield group's groups, in order), ``inherited`` (its properties) and ``problem``.  ``seq`` orders a file's lines; it is unique in a file.
     """
     kinds = F.broadcast(symbols.select("tag", "kind", "name"))  # a row for each tag
-    rows = lines.join(kinds, "tag", "left").withColumn("kind", F.coalesce("kind", F.lit("")))
+    rows = lines.join(kinds, "tag", "left").withColumn("kind", F.coalesce("kind", F.lit(""))).repartition(key)  # all windows are within a file
     here = Window.partitionBy(key, "track").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     of = lambda kind: (F.col("kind") == kind).cast("long")
     rows = rows.withColumn("_sgs", F.sum(of("sg")).over(here))
@@ -113,12 +113,13 @@ def insert_labels(lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     is_first = F.col("label") == F.col("seq")
     again = F.coalesce(F.col("repeat"), F.lit(True)) & (F.col("_nth") == 1) & (F.col("_track") != F.col("track"))
     rows = rows.withColumn("stored", (F.col("kind") != "") & (is_first | again))
+    later = Window.partitionBy(key, "track").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("group", F.when(F.col("kind") == "ch", F.last(F.when(F.col("kind") == "sg", F.col("label")), ignorenulls=True).over(later)))
 
     groups = rows.where("kind = 'sg'").select(key, "track", F.col("_sgs").alias("_sg"), F.col("seq").alias("_seq"), F.col("label").alias("_label"))
     over = rows.where("kind = 'gg'").select(key, "track", F.col("label").alias("_gg"), F.explode(F.when(F.col("_sgs") > F.col("_before"), F.sequence(F.col("_before") + 1, F.col("_sgs")))).alias("_sg"))
     above = over.join(groups, [key, "track", "_sg"]).groupBy(key, F.col("_seq").alias("seq")).agg(F.sort_array(F.collect_set("_gg")).alias("groups"))
     rows = rows.join(above, [key, "seq"], "left").withColumn("_first_groups", F.first("groups").over(one))
-    rows = rows.join(groups.select(key, "track", (F.col("_sg") - 1).alias("_sgs"), F.lit("ch").alias("kind"), F.col("_label").alias("group")), [key, "track", "_sgs", "kind"], "left")
 
     differs = F.exists(F.map_keys("props"), lambda name: ~F.coalesce(F.element_at("props", name) == F.element_at("inherited", name), F.lit(False)))
     problem = (
