@@ -34,3 +34,10 @@ def test_problems(spark):
     said = {k: r.problem for k, r in got.items() if r.problem}
     assert said == {3: "no channels in a soundfield group", 5: "no such label", 7: "one id for different labels", 8: "no soundfield group before it", 10: "other properties than the first of its id", 13: "other groups than the first of its id"}
     assert not got[5].stored
+
+
+def test_one_join_of_lines(spark):
+    """Besides the symbols, lines meet only the groups above them; a channel's group comes from a window."""
+    lines = spark.createDataFrame([(1, 0, 0, "chL", None, True, 0, {})], "file int, track long, seq long, tag string, id string, repeat boolean, channel int, props map<string,string>")
+    plan = labels.insert_labels(lines, spark.createDataFrame(SYMBOLS, "tag string, kind string, name string"), "file")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join " in x and "_sgs#" in x]
