@@ -11,11 +11,16 @@ there.  Both keep state for each file: two numbers, or the elements of edit unit
 
 from __future__ import annotations
 
+import base64
 import bisect
+import contextlib
 import json
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -31,22 +36,50 @@ SCHEMA = "path string, key string, track_number long, offset long, size long, va
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def whole_until(f, at: int, most: int | None = None, every: int = SPLIT) -> list[int]:
+_LENGTH = struct.Struct(">I").unpack_from
+#: Bytes of a packet's key and length, at most; read at once where packets are small; files from which on an offset is packed.
+MOST_HEAD, AHEAD, MANY = 25, 256 << 10, 1000
+
+
+def whole_until(f, at: int, most: int | None = None, every: int = SPLIT, ahead: int = MOST_HEAD) -> list[int]:
     """Ends of stretches of whole packets from ``at`` on, of about ``every`` bytes; the last one ends where no further packet is whole or ``most`` bytes are reached.
 
-    Nothing but the heads of packets is read.
+    Nothing but the heads of packets is read, or with a larger ``ahead`` so many bytes at once behind a packet that is far smaller.
     """
-    ends, here = [], at
-    while most is None or here - at < most:
-        head = f.read_at(25, here) if here < f.size else b""
-        found = klv.length(head, 16) if len(head) >= 17 else None
-        if not found or here + 16 + found[1] + found[0] > f.size:
-            break
-        here += 16 + found[1] + found[0]
-        if not ends or ends[-1] - (ends[-2] if len(ends) > 1 else at) >= every:
+    ends, begun, here = [], at, at
+    stop = f.size if most is None else min(f.size, at + most)
+    last = ahead  # bytes of the packet before
+    while here < stop:
+        first, data = here, f.read_at(ahead if last * 16 <= ahead else MOST_HEAD, here)
+        k = before = 0
+        until = min(len(data) - MOST_HEAD + 1, stop - here, begun + every - here)
+        while k < until and data[k + 16] == 0x84:  # nearly all
+            before, k = k, k + 21 + _LENGTH(data, k + 17)[0]
+        if not k:  # another kind of length, or the last bytes of the file
+            found = klv.length(data, 16) if len(data) >= 17 else None
+            if not found:
+                break
+            k = 16 + found[1] + found[0]
+        whole = first + k <= f.size
+        here, last = first + (k if whole else before), k - before
+        if here - begun >= every:
             ends.append(here)
-        ends[-1] = here
-    return ends
+            begun = here
+        if not whole:
+            break
+    return [*ends, here] if here > begun else ends
+
+
+def packed(offset: dict[str, int]) -> dict:
+    """An offset as Spark keeps it, several times for each batch: that of many files compressed, the same text for the same offset."""
+    if len(offset) < MANY:
+        return offset
+    return {"packed": base64.b64encode(zlib.compress(json.dumps(offset, sort_keys=True).encode(), 1)).decode()}
+
+
+def unpacked(offset: dict) -> dict[str, int]:
+    held = offset.get("packed")
+    return json.loads(zlib.decompress(base64.b64decode(held))) if isinstance(held, str) else offset
 
 
 @dataclass
@@ -100,17 +133,18 @@ class _Reader(DataSourceStreamReader):
             if size > at:
                 f = places.Ranges(path)
                 try:
-                    ends = whole_until(f, at, share, self.split)
+                    ends = whole_until(f, at, share, self.split, AHEAD)
                 finally:
                     f.close()
                 if ends:
                     out[path], self._cuts[path, at], self._reached = ends[-1], ends, path
                     left = None if left is None else left - (ends[-1] - at)
-        return out
+        return packed(out)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         """Stretches of about ``split`` bytes, those of small files together."""
         found, held, size = [], [], 0
+        start, end = unpacked(start), unpacked(end)
         for path, until in end.items():
             at = start.get(path, 0)
             if until <= at:
@@ -119,7 +153,7 @@ class _Reader(DataSourceStreamReader):
             if not cuts or cuts[-1] != until:  # a batch that another process planned
                 f = places.Ranges(path)
                 try:
-                    cuts = whole_until(f, at, until - at, self.split)
+                    cuts = whole_until(f, at, until - at, self.split, AHEAD)
                 finally:
                     f.close()
             for cut in cuts:
@@ -181,9 +215,22 @@ class GrowingPackets(DataSource):
 
 
 def packets(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A stream of the packets of growing files."""
+    """A stream of the packets of growing files; a batch is dealt to as many tasks as run at once, if they get ``LEAST`` bytes each."""
     spark.dataSource.register(GrowingPackets)
-    return spark.readStream.format("growing_packets").options(path=path, **options).load()
+    split = max(LEAST, min(SPLIT, int(options.get("bytesPerTrigger", BATCH)) // spark.sparkContext.defaultParallelism))
+    return spark.readStream.format("growing_packets").options(**{"path": path, "splitBytes": split, **options}).load()
+
+
+@contextlib.contextmanager
+def dealt_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in as many partitions as tasks run at once, if the session has more: what a batch takes is bounded, and each partition costs a worker and a commit in each batch."""
+    conf, name = spark.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
 
 
 INDEX = "path string, position long, track_number long, stream_offset long, offset long, size long, value binary"
@@ -193,17 +240,18 @@ class _Index(StatefulProcessor):
     def init(self, handle) -> None:
         self._state = handle.getValueState("at", "first long, position long, stream long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows))  # a batch of one file, which bytesPerTrigger bounds
+        own = own[own["track_number"].notna()].sort_values("offset")
+        if own.empty:
+            return
         first, position, stream = self._state.get() if self._state.exists() else (None, -1, 0)
-        for r in sorted(rows, key=lambda r: r.offset):  # a batch of one file, which bytesPerTrigger bounds
-            if r.track_number is None:
-                continue
-            first = r.track_number if first is None else first
-            position += r.track_number == first
-            yield Row(path=key[0], position=position, track_number=r.track_number, stream_offset=stream, offset=r.offset, size=r.size, value=r.value)
-            stream += HEAD + r.size
-        if first is not None:
-            self._state.update((first, position, stream))
+        track, bytes_ = own["track_number"].astype("int64"), own["size"] + HEAD
+        first = int(track.iloc[0]) if first is None else first
+        at, end = (track == first).cumsum() + position, bytes_.cumsum() + stream
+        out = {"path": key[0], "position": at, "track_number": track, "stream_offset": end - bytes_, "offset": own["offset"], "size": own["size"]}
+        yield pd.DataFrame(out | ({"value": own["value"]} if "value" in own else {}))
+        self._state.update((first, int(at.iloc[-1]), int(end.iloc[-1])))
 
     def close(self) -> None:
         pass
@@ -216,10 +264,12 @@ HEAD = 21
 def append_index(stream: DataFrame) -> DataFrame:
     """Elements with the ``position`` of their edit unit, which the first track's element begins, and their ``stream_offset``, numbered on from batch to batch.
 
-    Elements are taken to have heads of ``HEAD`` bytes; other packets are left out.
+    Elements are taken to have heads of ``HEAD`` bytes; other packets are left out.  A stream without ``value`` gives an index without it, and no payload is shuffled.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    return stream.groupBy("path").transformWithState(_Index(), INDEX, "Append", "None")
+    own = [c for c in ("path", "track_number", "offset", "size", "value") if c in stream.columns]
+    schema = INDEX if "value" in own else INDEX.removesuffix(", value binary")
+    return stream.select(*own).groupBy("path").transformWithStateInPandas(_Index(), schema, "Append", "None")
 
 
 class _Hold(StatefulProcessor):

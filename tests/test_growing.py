@@ -86,3 +86,29 @@ def test_only_heads_are_read_to_find_the_end(whole):
     starts = {at for _, at, _, _ in klv.Parser().push(whole["alpha"])}
     assert set(ends) <= starts and all(b - a >= 300 for a, b in zip([0, *ends], ends[:-1], strict=False))
     assert growing.whole_until(Log(b""), 0) == [] and growing.whole_until(Log(whole["alpha"][:30]), 0) == []
+
+
+def test_many_files_of_small_packets(spark, tmp_path, whole):
+    """Small packets' heads are read in long stretches, offsets of many files stay short, and payloads needn't go into the index; growth as before."""
+    data = whole["alpha"]
+    f = Log(data)
+    assert growing.whole_until(f, 0, ahead=1 << 20) == growing.whole_until(Log(data), 0) and len(f.read) <= 3
+    assert growing.whole_until(Log(data), 0, every=300, ahead=1 << 20) == growing.whole_until(Log(data), 0, every=300)
+    assert [growing.whole_until(Log(data[:n]), 0, None, 90, 4000) for n in range(300)] == [growing.whole_until(Log(data[:n]), 0, None, 90) for n in range(300)]
+    offset = {f"/a/folder/{k}.mxf": k for k in range(5000)}
+    kept = growing.packed(offset)
+    assert len(str(kept)) < 100_000 and growing.unpacked(kept) == offset and kept == growing.packed(dict(sorted(offset.items(), key=str)))
+    assert growing.packed({"a": 1}) == growing.unpacked({"a": 1}) == {"a": 1}
+
+    (tmp_path / "in").mkdir()
+    done = {}
+    for share in (0.3, 1.0):
+        for name, x in whole.items():
+            (tmp_path / "in" / f"{name}.mxf").write_bytes(x[: int(len(x) * share)])
+        df = growing.append_index(growing.packets(spark, str(tmp_path / "in"), bytesPerTrigger=700, progress=f"{tmp_path}/progress.json").drop("value"))
+        with growing.dealt_by_cores(spark):
+            run(df, tmp_path, "index", "ck")
+        rows = spark.read.schema(df.schema).parquet(f"{tmp_path}/index").collect()
+        assert len(rows) > len(done)
+        done = {(name_of(r), r.position, r.track_number): (r.offset, r.size, r.stream_offset) for r in rows}
+    assert "value" not in df.columns and len(done) == len(rows) and done == wanted(whole)
